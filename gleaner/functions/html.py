@@ -49,11 +49,12 @@ def strip_chrome(html: Column | str) -> Column:
 
 def anchors(html: Column | str) -> Column:
     """All links with text, in page order: array of (href, text)."""
-    html = col(html)
-    pairs = F.arrays_zip(find_all(html, ANCHOR, 1).alias("tag"), find_all(html, ANCHOR, 2).alias("inner"))
     named = F.transform(
-        pairs,
-        lambda p: F.struct(attribute(p["tag"], "href").alias("href"), _element_text(p["inner"]).alias("text")),
+        find_all(html, ANCHOR),
+        lambda a: F.struct(
+            attribute(F.regexp_extract(a, ANCHOR_TAG, 1), "href").alias("href"),
+            _element_text(F.regexp_extract(a, r"(?s)>(.*)<", 1)).alias("text"),
+        ),
     )
     return F.filter(named, lambda a: a["href"].isNotNull())
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleaner.functions import fixed
 from gleaner.functions.common import WORD, WS, col, collapse, let, strip
@@ -20,7 +21,7 @@ def normalize_email(c: Column | str) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decompose(names: pd.Series) -> pd.Series:
     return names.str.normalize("NFKD")
 

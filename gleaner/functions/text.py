@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
-from gleaner.functions.common import WORD, WS, col, let, strip
+from gleaner.functions.common import WORD, WS, col, let, squeeze, strip
 
 # One alternation finds whichever comes first, so "<!--" inside a script and "<script" inside a
 # comment are both read the way a browser reads them.
@@ -21,6 +21,8 @@ HIDDEN = (
 TAG_RUN = rf"(?<![{WS}])[{WS}]*+(?:<[a-zA-Z/!?][^>]*+>[{WS}]*+)++"
 
 _ENTITY_NAMES = {name: chr(cp) for name, cp in sorted(name2codepoint.items())} | {"apos": "'"}
+# one literal that the optimizer folds into a map; spelled as 500 literals it would slow planning
+_ENTITY_TEXT = "\x01".join(f"{name}\x02{char}" for name, char in _ENTITY_NAMES.items())
 
 
 def _char(code_point: Column) -> Column:
@@ -31,28 +33,30 @@ def _char(code_point: Column) -> Column:
 
 def html_unescape(c: Column | str) -> Column:
     """Decode character references (named ones of HTML 4, decimal and hexadecimal)."""
-    c = col(c)
-    names = F.create_map(*[F.lit(x) for kv in _ENTITY_NAMES.items() for x in kv])
-
-    def decode(ref: Column, rest: Column) -> Column:
-        number = F.regexp_extract(ref, r"^#([0-9]{1,7})$", 1)
-        hexed = F.regexp_extract(ref, r"^#[xX]([0-9a-fA-F]{1,6})$", 1)
-        char = (
-            F.when(number != "", _char(number.try_cast("bigint")))
-            .when(hexed != "", _char(F.conv(hexed, 16, 10).try_cast("bigint")))
+    names = F.str_to_map(F.lit(_ENTITY_TEXT), F.lit("\x01"), F.lit("\x02"))
+    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
+    def char(ref: Column) -> Column:
+        hexed = F.conv(F.substr(ref, F.lit(3)), 16, 10)
+        return (
+            F.when(ref.rlike("^#[0-9]"), _char(F.substr(ref, F.lit(2)).try_cast("bigint")))
+            .when(ref.startswith("#"), _char(hexed.try_cast("bigint")))
             .otherwise(F.try_element_at(names, ref))
         )
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), ref, F.lit(";"), rest))
-
-    def segment(s: Column, i: Column) -> Column:
-        ref = F.regexp_extract(s, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});", 1)
-        return F.when(i == 0, s).otherwise(
-            let(ref, lambda r: F.when(r == "", F.concat(F.lit("&"), s)).otherwise(
-                decode(r, F.substr(s, F.length(r) + F.lit(2)))
-            ))
-        )
 
-    return F.when(~c.contains("&"), c).otherwise(F.array_join(F.transform(F.split(c, "&", -1), segment), ""))
+    def piece(s: Column, i: Column) -> Column:
+        def decoded(ref: Column) -> Column:
+            rest = F.substr(s, F.length(ref) + F.lit(2))
+            return F.coalesce(F.concat(char(ref), rest), F.concat(F.lit("&"), s))
+
+        return F.when(i == 0, s).otherwise(let(F.regexp_extract(s, reference, 1), decoded))
+
+    return let(
+        col(c),
+        lambda v: F.when(~v.contains("&"), v).otherwise(
+            F.array_join(F.transform(F.split(v, "&", -1), piece), "")
+        ),
+    )
 
 
 def html_to_text(c: Column | str) -> Column:
@@ -64,8 +68,7 @@ def html_to_text(c: Column | str) -> Column:
 
 def clean_whitespace(c: Column | str) -> Column:
     """One blank per run of white space, zero-width characters removed, trimmed."""
-    squeezed = F.regexp_replace(col(c), rf"[{WS}]+", " ")
-    return F.trim(F.translate(squeezed, "​‌‍﻿", ""))
+    return F.trim(F.translate(squeeze(c), "​‌‍﻿", ""))
 
 
 def remove_boilerplate(c: Column | str, phrases: Iterable[str] = fixed.BOILERPLATE_LINES) -> Column:

@@ -67,7 +67,11 @@ def _remove_dots(p: Column) -> Column:
 
 def resolve_url(base: Column | str, href: Column | str) -> Column:
     """Absolute form of ``href`` seen on the page ``base``."""
-    base, href = col(base), col(href)
+    # bound once: every part of the result looks at the reference
+    return let(col(href), lambda h: _resolve(col(base), h))
+
+
+def _resolve(base: Column, href: Column) -> Column:
     b_scheme, b_auth, b_path, b_query = scheme(base), netloc(base), path(base), query(base)
     h_scheme, h_path, h_query, h_frag = scheme(href), path(href), query(href), fragment(href)
     has_auth = href.rlike(_PREFIX + "//")

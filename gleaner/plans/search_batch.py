@@ -21,16 +21,15 @@ def run_search_batch(
 ) -> DataFrame:
     """Results of all requests: search text, stored hits, per-request cap, processing.
 
-    ``hits.query`` holds the search text a response was stored under. Hits are capped at the largest
-    request before the join (a group limit, before any shuffle), and at the request's own limit
-    after it. One text may hold most of the hits, so the join is salted on their side.
+    ``hits.query`` holds the search text a response was stored under, and ``hits.seq`` the position
+    in it from 1, so a request's own limit is a filter and needs no ranking. One text may hold most
+    of the hits, so the join is salted on their side.
     """
     wanted = search.build_queries(requests, **flags).select(
         F.col("search_text"), F.col("query").alias("request"), "priority", "max_results"
     )
     stored = hits.withColumnRenamed("query", "search_text")
     matched = salted_join(stored, wanted, "search_text")
-    # seq counts from 1 inside a response
     capped = matched.filter(F.col("seq") <= F.col("max_results"))
     processed = search.process_hits(
         capped.select(
