@@ -1,6 +1,6 @@
 """Registered queries with their checking SQL."""
 
-from gleaner.catalogue import contact_queries, html_queries, text_queries  # noqa: F401
+from gleaner.catalogue import contact_queries, crawl_queries, html_queries, lead_queries, search_queries, text_queries  # noqa: F401
 from gleaner.catalogue.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
