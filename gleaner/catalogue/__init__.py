@@ -1,6 +1,8 @@
 """Registered queries with their checking SQL."""
 
-from gleaner.catalogue import contact_queries, crawl_queries, html_queries, lead_queries, search_queries, text_queries  # noqa: F401
+from gleaner.catalogue import (  # noqa: F401
+    contact_queries, crawl_queries, html_queries, lead_queries, report_queries, search_queries, table_queries, text_queries,
+)
 from gleaner.catalogue.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -74,6 +74,11 @@ def first_category(text: Column, lexicon: Mapping[str, Iterable[str]], default:
     return fallback if branches is None else branches.otherwise(fallback)
 
 
+def micros(stamp: Column) -> Column:
+    """Microseconds since 1970, for timestamps with and without time zone."""
+    return F.unix_micros(stamp.cast("timestamp"))
+
+
 def first_of(arr: Column) -> Column:
     """First element or NULL."""
     return F.get(arr, F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
-from gleaner.functions.common import blank_to_null, col, contains_any
+from gleaner.functions.common import blank_to_null, contains_any, micros
 
 
 def _filled(c: Column) -> Column:
@@ -53,7 +53,7 @@ def relevance(
 
 def _age_points(date_text: Column, now: Column, bands: Iterable[tuple[int, int]]) -> Column:
     stamp = F.try_to_timestamp(date_text)
-    days = F.floor((F.unix_micros(now) - F.unix_micros(stamp)) / F.lit(86_400_000_000))
+    days = F.floor((micros(now) - micros(stamp)) / F.lit(86_400_000_000))
     points = None
     for limit, value in bands:
         points = F.when(days < limit, value) if points is None else points.when(days < limit, value)

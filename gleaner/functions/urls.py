@@ -62,7 +62,8 @@ def _remove_dots(p: Column) -> Column:
     )
     joined = F.array_join(kept, "/")
     closed = F.when(p.rlike(r"(?:^|/)\.\.?$"), F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.when(closed == "", "/").otherwise(closed)
+    # more ".." than folders also removes the root
+    return F.when(closed.startswith("/"), closed).otherwise(F.concat(F.lit("/"), closed))
 
 
 def resolve_url(base: Column | str, href: Column | str) -> Column:

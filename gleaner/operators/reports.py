@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
+from gleaner.functions.common import micros
 
 
 def backlog(jobs: DataFrame, leads: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def job_outcome(jobs: DataFrame, timeouts: Mapping[str, float] = fixed.JOB_TIMEO
 
 def throughput(metrics: DataFrame) -> DataFrame:
     """One row of totals and rates from (ts, pages, leads, api_calls, api_cost)."""
-    hours = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(3.6e9)
+    hours = (micros(F.max("ts")) - micros(F.min("ts"))) / F.lit(3.6e9)
     totals = metrics.agg(
         F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_crawled"),
         F.coalesce(F.sum("leads"), F.lit(0)).alias("leads_extracted"),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
-from gleaner.functions.common import contains_any, first_category
+from gleaner.functions.common import contains_any, first_category, micros
 
 
 def build_query(
@@ -117,7 +117,7 @@ def to_frontier(processed: DataFrame, per_query: int = fixed.CRAWLS_PER_SEARCH)
 
 def search_metrics(jobs: DataFrame, hits: DataFrame, processed: DataFrame) -> DataFrame:
     """One row: jobs, raw results, results after deduplication, elapsed seconds."""
-    span = (F.unix_micros(F.max("finished_at")) - F.unix_micros(F.min("started_at"))) / F.lit(1e6)
+    span = (micros(F.max("finished_at")) - micros(F.min("started_at"))) / F.lit(1e6)
     j = jobs.agg(F.count("*").alias("total_jobs"), span.alias("elapsed_time"))
     h = hits.agg(F.count("*").alias("total_results"))
     p = processed.agg(F.count("*").alias("deduped_results"))

@@ -41,8 +41,10 @@ LEAD_KEY = [
 ]
 
 
-def lead_id() -> Column:
-    return make_id(F.lit("lead"), *[F.col(c) for c in LEAD_KEY])
+def lead_id(columns: list[str]) -> Column:
+    """Id of a lead: of the id it came with, else of what it says and where it was found."""
+    key = ["id"] if "id" in columns else LEAD_KEY
+    return make_id(F.lit("lead"), *[F.col(c) for c in key])
 
 
 def upsert_dims(
@@ -73,7 +75,7 @@ def upsert_dims(
 
 def store_leads(leads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``extracted_lead`` and ``lead_score``. A lead without scoring has no score row."""
-    rows = leads.select("*", lead_id().alias("id"), content_id("source_url").alias("content_id"))
+    rows = leads.withColumn("id", lead_id(leads.columns)).withColumn("content_id", content_id("source_url"))
     lead_rows = rows.select(
         "id", "content_id", "business_name", "contact_person", "email", "phone", "address", "website",
         "lead_type", "confidence_score", "extraction_method", "created_at",
