@@ -200,12 +200,8 @@ def _(spark, sf):
     WHERE rn <= 5""",
 )
 def _(spark, sf):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    joined = table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.array_join(F.transform(turns, lambda t: t["text"]), " ").alias("text")
-    )
-    out = L.keyword_table(joined, "conv_id", "text", 5)
-    return out.select("conv_id", F.col("rank").cast("bigint").alias("rank"), "keyword", F.col("n").cast("bigint").alias("n"))
+    out = L.grouped_keywords(table(spark, sf, "conversations"), "conv_id", "turn", top_n=5)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as Unicode defines it. Java's own \s is ASCII only, so classes are spelled out;
-# the same text is a valid class body in RE2, which the SQL checks run on.
-WS = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# White space as Unicode defines it; Java's \s is ASCII only. \h and \v are single tests in the
+# matcher, several times faster than the code points spelled out. \h also holds U+180E, a letter
+# separator of Mongolian that is no white space: the exact class leaves it out.
+WS = r"\h\v\x1c-\x1f"
+WS_CLASS = r"[\h\v\x1c-\x1f&&[^\x{180E}]]"
 WORD = r"\p{L}\p{N}_"
 WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
@@ -54,7 +56,7 @@ def collapse(c: Column | str) -> Column:
 def squeeze(c: Column | str) -> Column:
     """Replace each run of white space by one blank. Single blanks, by far the most common run,
     are not matched at all."""
-    return F.regexp_replace(col(c), rf"[{WS}]{{2,}}|[{WS}&&[^ ]]", " ")
+    return F.regexp_replace(col(c), rf" {WS_CLASS}+|[{WS}&&[^ \x{{180E}}]]{WS_CLASS}*", " ")
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

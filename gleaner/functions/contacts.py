@@ -3,9 +3,10 @@
 The patterns are written for a backtracking matcher that meets hostile pages. Most of them have
 the form "head, then any characters of a class, then a closing word". Tried at every offset, such
 a pattern reads the same run of text again and again. Since everything between two possible heads
-of one run belongs to the class, the first head of a run matches whenever a later one does, so it
-is enough to try one start per run: ``_run_start`` (start of a run, or the end of the previous
-match) followed by a possessive skip to the first head. Results are those of the plain pattern.
+of one run belongs to the class, the first head of a run matches whenever a later one does, so one
+try per run is enough. There are two ways to say so: ``_run_start`` (start of a run, or the end of
+the previous match) with a possessive skip to the head, and, where heads are rare,
+``_once_per_run``. Results are those of the plain pattern.
 """
 
 from __future__ import annotations
@@ -143,8 +144,8 @@ def business_name(text: Column | str, type_words: Iterable[str] = fixed.BUSINESS
         return first_of(F.filter(flat, lambda n: F.length(n) > 3))
 
     label = (
-        rf"(?iu){_run_start(_NAME_RUN)}[0-9&{WS}'-]*+([A-Z][{_NAME_RUN}]+)[{WS}]*"
-        rf"[-\x{{2013}}][{WS}]*(?:Contact|About|Home)"
+        rf"{_run_start(_NAME_RUN)}[0-9&{WS}'-]*+([A-Za-z][{_NAME_RUN}]+)[{WS}]*"
+        rf"[-\x{{2013}}][{WS}]*(?i:Contact|About|Home)"
     )
     labelled = F.when(
         text.rlike(rf"(?i)[-\x{{2013}}][{WS}]*(?:Contact|About|Home)"), find_all(text, label, 1)
@@ -160,17 +161,17 @@ def business_name(text: Column | str, type_words: Iterable[str] = fixed.BUSINESS
     )
 
 
-def _first_head(run: str, head: str) -> str:
-    """Skip inside a run to its first head; the atomic group never looks for a second one."""
-    return rf"{_run_start(run)}(?>[{run}]*?(?={head}))"
+def _once_per_run(match: str, head: str, run: str) -> str:
+    """``match``, or the whole rest of a run whose first head did not match (group 1 is empty)."""
+    return rf"({match})|{head}[{run}]*+"
 
 
 _STREET_HEAD = rf"[0-9]{{1,5}}[{WS}]"
-_STREET_BODY = rf"[0-9]{{1,5}}[{WS}]+[{_ADDRESS_RUN}]+"
 
 
-def _street_pattern(words: Iterable[str]) -> str:
-    return rf"{_first_head(_ADDRESS_RUN, _STREET_HEAD)}({_STREET_BODY}{_ends_with_word(words)})"
+def _street_pattern(words: Iterable[str], flags: str = "") -> str:
+    body = rf"[0-9]{{1,5}}[{WS}]+[{_ADDRESS_RUN}]+{flags}{_ends_with_word(words)}"
+    return _once_per_run(body, _STREET_HEAD, _ADDRESS_RUN)
 
 
 def street_addresses(text: Column | str, street_words: Iterable[str] = fixed.STREET_WORDS) -> Column:
@@ -180,7 +181,7 @@ def street_addresses(text: Column | str, street_words: Iterable[str] = fixed.STR
 
 def _street_addresses(text: Column, street_words: Iterable[str]) -> Column:
     found = F.when(
-        contains_any(text, street_words), find_all(text, _street_pattern(street_words), 1)
+        text.rlike(_STREET_HEAD), find_all(text, _street_pattern(street_words), 1)
     ).otherwise(empty_strings())
     return F.filter(F.transform(found, collapse), lambda a: F.length(a) > 5)
 
@@ -189,21 +190,22 @@ def first_address(text: Column | str, street_words: Iterable[str] = fixed.STREET
     """Labelled address, else street address, else address with a postal code; the first match of
     a form counts if it is longer than ten characters."""
     text = col(text)
-    labelled = rf"(?iu)Address[:{WS}]*([^,\n]+(?:,[{WS}]*[^,\n]+)*+)"
-    postal = (
-        rf"(?iu){_first_head(_ADDRESS_RUN, _STREET_HEAD)}"
-        rf"({_STREET_BODY},[{WS}]*[0-9]{{5}}[{WS}]+[A-Za-z{WS}]+,[{WS}]*[A-Za-z{WS}]+)"
+    labelled = rf"(?i:Address)[:{WS}]*([^,\n]+(?:,[{WS}]*[^,\n]+)*+)"
+    street = _street_pattern(street_words, "(?i)")
+    postal = _once_per_run(
+        rf"[0-9]{{1,5}}[{WS}]+[{_ADDRESS_RUN}]+,[{WS}]*[0-9]{{5}}[{WS}]+[A-Za-z{WS}]+,[{WS}]*[A-Za-z{WS}]+",
+        _STREET_HEAD, _ADDRESS_RUN,
     )
 
-    def long_enough(pattern: str) -> Column:
-        return let(
-            collapse(F.regexp_extract(text, pattern, 1)), lambda a: F.when(F.length(a) > 10, a)
-        )
+    def long_enough(found: Column) -> Column:
+        return let(collapse(found), lambda a: F.when(F.length(a) > 10, a))
+
+    def first_match(pattern: str) -> Column:
+        return long_enough(first_of(F.filter(find_all(text, pattern, 1), lambda m: m != "")))
 
     return F.coalesce(
-        long_enough(labelled),
-        long_enough("(?iu)" + _street_pattern(street_words)),
-        long_enough(postal),
+        long_enough(F.regexp_extract(text, labelled, 1)),
+        F.when(text.rlike(_STREET_HEAD), F.coalesce(first_match(street), first_match(postal))),
     )
 
 
@@ -211,9 +213,9 @@ _POSTAL_RUN = rf"{WORD} .,-"
 POSTAL_ADDRESS_PLAIN = rf"\p{{Nd}}{{1,5}} [{_POSTAL_RUN}]+,? [{_POSTAL_RUN}]+,? [A-Z]{{2,}} ?\p{{Nd}}{{3,6}}"
 # Commas and blanks are themselves in the class, so the two middle parts are "any text with an
 # inner blank"; naming the first inner blank leaves a single part that can backtrack.
-POSTAL_ADDRESS = (
-    rf"{_first_head(_POSTAL_RUN, r'\p{Nd}{1,5} ')}"
-    rf"(\p{{Nd}}{{1,5}} [{_POSTAL_RUN}][{WORD}.,-]*+ [{_POSTAL_RUN}]+ [A-Z]{{2,}} ?\p{{Nd}}{{3,6}})"
+POSTAL_ADDRESS = _once_per_run(
+    rf"\p{{Nd}}{{1,5}} [{_POSTAL_RUN}][{WORD}.,-]*+ [{_POSTAL_RUN}]+ [A-Z]{{2,}} ?\p{{Nd}}{{3,6}}",
+    r"\p{Nd}{1,5} ", _POSTAL_RUN,
 )
 
 
@@ -233,7 +235,8 @@ def physical_addresses(html: Column | str) -> Column:
     structured = F.filter(
         F.transform(H.jsonld_blocks(html), from_item), lambda a: a.isNotNull()
     )
-    return sorted_set(F.concat(structured, find_all(html, POSTAL_ADDRESS, 1)))
+    by_pattern = F.filter(find_all(html, POSTAL_ADDRESS, 1), lambda a: a != "")
+    return sorted_set(F.concat(structured, by_pattern))
 
 
 def _is_place(item: Column) -> Column:
@@ -331,9 +334,9 @@ def email_phone_pairs(text: Column | str) -> Column:
     text = col(text)
     gap = rf"[^{_LOCAL}]*"
     forms = [
-        (rf"(?iu)email[:{WS}]*({_EMAIL_PART}){gap}phone[:{WS}]*({PHONE})", 1, 2),
-        (rf"(?iu)phone[:{WS}]*({PHONE}){gap}email[:{WS}]*({_EMAIL_PART})", 2, 1),
-        (rf"(?iu){_run_start(_LOCAL)}({_EMAIL_PART}){gap}({PHONE})", 1, 2),
+        (rf"(?i:email)[:{WS}]*({_EMAIL_PART}){gap}(?i:phone)[:{WS}]*({PHONE})", 1, 2),
+        (rf"(?i:phone)[:{WS}]*({PHONE}){gap}(?i:email)[:{WS}]*({_EMAIL_PART})", 2, 1),
+        (rf"{_run_start(_LOCAL)}({_EMAIL_PART}){gap}({PHONE})", 1, 2),
     ]
 
     def zipped(emails: Column, phones: Column) -> Column:

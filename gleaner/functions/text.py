@@ -9,16 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
-from gleaner.functions.common import WORD, WS, col, let, squeeze, strip
+from gleaner.functions.common import WORD, WS_CLASS, col, let, squeeze, strip
 
 # One alternation finds whichever comes first, so "<!--" inside a script and "<script" inside a
 # comment are both read the way a browser reads them.
 HIDDEN = (
-    r"(?is)<!--.*?-->|<(" + "|".join([*fixed.HIDDEN_TAGS, "template"]) + r")\b[^>]*+>.*?</\1[" + WS + r"]*+>"
+    r"(?is)<!--.*?-->|<(" + "|".join([*fixed.HIDDEN_TAGS, "template"]) + r")\b[^>]*+>.*?</\1\s*+>"
 )
-# A run of tags with the blanks around it. The look-behind and the possessive quantifiers keep the
-# scan linear and off the Java stack, whatever the page looks like.
-TAG_RUN = rf"(?<![{WS}])[{WS}]*+(?:<[a-zA-Z/!?][^>]*+>[{WS}]*+)++"
+# A run of tags with the blanks around it. Blanks count only from the start of their run, and the
+# quantifiers are possessive: the scan stays linear and off the Java stack, whatever the page holds.
+_TAG = rf"<[a-zA-Z/!?][^>]*+>{WS_CLASS}*+"
+TAG_RUN = rf"(?:<(?=[a-zA-Z/!?])|(?={WS_CLASS})(?<!{WS_CLASS}){WS_CLASS}++<(?=[a-zA-Z/!?]))[^>]*+>{WS_CLASS}*+(?:{_TAG})*+"
 
 _ENTITY_NAMES = {name: chr(cp) for name, cp in sorted(name2codepoint.items())} | {"apos": "'"}
 # one literal that the optimizer folds into a map; spelled as 500 literals it would slow planning

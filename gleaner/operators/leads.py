@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import classify as K, contacts as C, fixed, html as H, normalize as N, scoring as S
@@ -343,14 +344,42 @@ def classify_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def keyword_table(docs: DataFrame, key: str = "doc_id", text: str = "text", top_n: int = 10) -> DataFrame:
     """(key, rank, keyword, n) of the most frequent words of each document."""
     return docs.select(
-        key, F.posexplode(F.slice(K.keyword_counts(text), 1, top_n)).alias("p", "k")
+        key, F.posexplode(K.keyword_counts(text, top_n)).alias("p", "k")
     ).select(key, (F.col("p") + 1).alias("rank"), F.col("k.word").alias("keyword"), F.col("k.n").alias("n"))
 
 
+def grouped_keywords(
+    rows: DataFrame, group: str, order: str, text: str = "text", top_n: int = 10
+) -> DataFrame:
+    """(group, rank, keyword, n) over texts of several rows, such as the turns of a conversation.
+
+    The texts of a group are never brought together: words are counted per group with partial sums
+    below the shuffle, and only ``top_n`` words per group and task reach the ranking. Ties go to the
+    word seen first by ``order``.
+    """
+    seen = rows.select(group, order, F.posexplode(K.words(text)).alias("at", "keyword"))
+    counted = seen.groupBy(group, "keyword").agg(
+        F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first")
+    )
+    rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), "first"))
+    return counted.withColumn("rank", rank).filter(F.col("rank") <= top_n).select(group, "rank", "keyword", "n")
+
+
 def corpus_keywords(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(keyword, n_docs, n) over all documents. Words are counted per document first, so the shuffle
-    carries one row per document and word at most, and partial sums below that."""
-    per_doc = docs.select(F.explode(K.keyword_counts(text)).alias("k"))
-    return per_doc.groupBy(F.col("k.word").alias("keyword")).agg(
-        F.count("*").alias("n_docs"), F.sum("k.n").alias("n")
+    """(keyword, n_docs, n) over all documents, in one pass.
+
+    Each document gives its words once for ``n`` and its distinct words once for ``n_docs``; sums
+    are combined before the shuffle, so a word that is everywhere costs one row per task.
+    """
+    found = docs.select(K.words(text).alias("words"))
+    marks = F.concat(
+        F.transform("words", lambda w: F.struct(w.alias("keyword"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
+        F.transform(
+            F.array_distinct("words"), lambda w: F.struct(w.alias("keyword"), F.lit(0).alias("n"), F.lit(1).alias("d"))
+        ),
+    )
+    return (
+        found.select(F.inline(marks))
+        .groupBy("keyword")
+        .agg(F.sum("d").alias("n_docs"), F.sum("n").alias("n"))
     )
