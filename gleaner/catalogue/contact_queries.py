@@ -264,11 +264,10 @@ def contact_person(text: str, contact: str) -> str:
 def _(spark, sf):
     return (
         texts(spark, sf)
-        .select("doc_id", F.transform(
+        .select("doc_id", F.inline(F.transform(
             C.extract_emails("text"),
             lambda e: F.struct(e.alias("contact"), C.contact_person("text", e).alias("person")),
-        ).alias("found"))
-        .select("doc_id", F.inline("found"))
+        )))
     )
 
 

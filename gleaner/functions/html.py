@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
 from gleaner.functions.common import (
-    WS, blank_to_null, col, collapse, find_all, first_of, let, strip,
+    WS, blank_to_null, col, collapse, empty_strings, find_all, first_of, let, strip,
 )
 from gleaner.functions.text import html_to_text, html_unescape
 
-ANCHOR = r"(?is)<a[\s/]([^>]*+)>(.*?)</a\s*+>"
-ANCHOR_TAG = r"(?is)<a[\s/]([^>]*+)>"
-META_TAG = r"(?is)<meta[\s/]([^>]*+)>"
-LINK_TAG = r"(?is)<link[\s/]([^>]*+)>"
-TITLE = r"(?is)<title\b[^>]*+>(.*?)</title\s*+>"
-H1 = r"(?is)<h1\b[^>]*+>(.*?)</h1\s*+>"
-JSONLD = r"(?is)<script\b[^>]*?\btype\s*=\s*[\"']?application/ld\+json\b[^>]*+>(.*?)</script\s*+>"
+# A tag or element that is never closed runs to the end of the page (a link to the next link), so
+# every opening matches and no part of a page is read twice.
+ANCHOR = r"(?is)<a[\s/]([^>]*+)(?:>(.*?)(?:</a\s*+>|(?=<a[\s/])|\z)|\z)"
+ANCHOR_TAG = r"(?is)<a[\s/]([^>]*+)(?:>|\z)"
+META_TAG = r"(?is)<meta[\s/]([^>]*+)(?:>|\z)"
+LINK_TAG = r"(?is)<link[\s/]([^>]*+)(?:>|\z)"
+TITLE = r"(?is)<title\b[^>]*+(?:>(.*?)(?:</title\s*+>|\z)|\z)"
+H1 = r"(?is)<h1\b[^>]*+(?:>(.*?)(?:</h1\s*+>|\z)|\z)"
+SCRIPT = r"(?is)<script\b[^>]*+(?:>.*?(?:</script\s*+>|\z)|\z)"
+JSONLD_HEAD = r"(?is)^<script\b[^>]*?\btype\s*=\s*[\"']?application/ld\+json\b"
 ITEMTYPE_TAG = r"(?is)<[a-z][a-z0-9]*+\s[^>]*?\bitemtype\s*=[^>]*+>"
 ATTRIBUTE = r"(?s)([a-zA-Z_:@][a-zA-Z0-9_:.@-]*+)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]++)"
-CHROME = r"(?is)<(" + "|".join(fixed.CHROME_TAGS) + r")\b[^>]*+>.*?</\1\s*+>"
+CHROME = r"(?is)<(" + "|".join(fixed.CHROME_TAGS) + r")\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)"
 FORM = r"(?i)<form\b"
 
 
@@ -53,7 +56,7 @@ def anchors(html: Column | str) -> Column:
         find_all(html, ANCHOR),
         lambda a: F.struct(
             attribute(F.regexp_extract(a, ANCHOR_TAG, 1), "href").alias("href"),
-            _element_text(F.regexp_extract(a, r"(?s)>(.*)<", 1)).alias("text"),
+            _element_text(F.regexp_extract(a, r"(?is)^[^>]*+>(.*?)(?:</a\s*+>)?\z", 1)).alias("text"),
         ),
     )
     return F.filter(named, lambda a: a["href"].isNotNull())
@@ -132,8 +135,13 @@ def page_lang(html: Column | str) -> Column:
 
 def jsonld_blocks(html: Column | str) -> Column:
     """Text of every JSON-LD script that parses."""
-    blocks = F.transform(find_all(html, JSONLD, 1), strip)
-    return F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
+    html = col(html)
+    scripts = F.filter(find_all(html, SCRIPT), lambda s: s.rlike(JSONLD_HEAD))
+    blocks = F.transform(
+        scripts, lambda s: strip(F.regexp_extract(s, r"(?is)^[^>]*+>(.*?)(?:</script\s*+>)?\z", 1))
+    )
+    parsed = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
+    return F.when(F.lower(html).contains("ld+json"), parsed).otherwise(empty_strings())
 
 
 def jsonld_items(html: Column | str) -> Column:
@@ -158,8 +166,11 @@ def microdata(html: Column | str) -> Column:
         )
         return F.map_from_entries(first_only)
 
+    html = col(html)
+    # most pages have none: a substring search is much cheaper than looking into every tag
+    tags = F.when(F.lower(html).contains("itemtype"), find_all(html, ITEMTYPE_TAG)).otherwise(empty_strings())
     return F.transform(
-        find_all(html, ITEMTYPE_TAG),
+        tags,
         lambda tag: F.struct(attribute(tag, "itemtype").alias("itemtype"), properties(tag).alias("properties")),
     )
 

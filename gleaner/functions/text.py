@@ -12,14 +12,21 @@ from gleaner.functions import fixed
 from gleaner.functions.common import WORD, WS_CLASS, col, let, squeeze, strip
 
 # One alternation finds whichever comes first, so "<!--" inside a script and "<script" inside a
-# comment are both read the way a browser reads them.
+# comment are both read the way a browser reads them. What is never closed runs to the end of the
+# page, as in a browser; it also means that no opening is ever tried without success, so the scan
+# stays linear.
 HIDDEN = (
-    r"(?is)<!--.*?-->|<(" + "|".join([*fixed.HIDDEN_TAGS, "template"]) + r")\b[^>]*+>.*?</\1\s*+>"
+    r"(?is)<!--.*?(?:-->|\z)|<("
+    + "|".join([*fixed.HIDDEN_TAGS, "template"])
+    + r")\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)"
 )
 # A run of tags with the blanks around it. Blanks count only from the start of their run, and the
-# quantifiers are possessive: the scan stays linear and off the Java stack, whatever the page holds.
-_TAG = rf"<[a-zA-Z/!?][^>]*+>{WS_CLASS}*+"
-TAG_RUN = rf"(?:<(?=[a-zA-Z/!?])|(?={WS_CLASS})(?<!{WS_CLASS}){WS_CLASS}++<(?=[a-zA-Z/!?]))[^>]*+>{WS_CLASS}*+(?:{_TAG})*+"
+# quantifiers are possessive, which keeps the match off the Java stack.
+_TAG_REST = rf"[^>]*+(?:>|\z){WS_CLASS}*+"
+TAG_RUN = (
+    rf"(?:<(?=[a-zA-Z/!?])|(?={WS_CLASS})(?<!{WS_CLASS}){WS_CLASS}++<(?=[a-zA-Z/!?])){_TAG_REST}"
+    rf"(?:<(?=[a-zA-Z/!?]){_TAG_REST})*+"
+)
 
 _ENTITY_NAMES = {name: chr(cp) for name, cp in sorted(name2codepoint.items())} | {"apos": "'"}
 # one literal that the optimizer folds into a map; spelled as 500 literals it would slow planning

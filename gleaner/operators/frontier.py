@@ -122,9 +122,11 @@ def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*", url: str =
     """
     keyed = urls.withColumn("domain", U.domain(url))
     joined = salted_join(keyed, rules_for_agent(robots, agent), "domain", "left")
-    target = U.path_and_query(url)
-    hit = first_of(
-        F.filter("rules", lambda r: (r["path"] == "*") | target.startswith(r["path"]))
+    hit = let(
+        U.path_and_query(url),
+        lambda target: first_of(
+            F.filter("rules", lambda r: (r["path"] == "*") | target.startswith(r["path"]))
+        ),
     )
     return joined.withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).drop("rules")
 

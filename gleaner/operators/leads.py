@@ -93,7 +93,6 @@ def paired_leads(
         C.business_name(t).alias("business_name"),
         F.coalesce(first_of(C._street_addresses(t, fixed.STREET_WORDS)), C.first_address(t)).alias("address"),
         C.first_website(t).alias("website"),
-        C.role_person(t).alias("_by_role"),
         _use_once(C.email_phone_pairs(t)).alias("_pairs"),
         F.transform(C._emails(t), strip).alias("_emails"),
         F.transform(C._phones(t), strip).alias("_phones"),
@@ -113,17 +112,21 @@ def paired_leads(
         F.transform(rest_emails, lambda e: entry(e, _null(), fixed.CONF_EMAIL_ONLY)),
         F.transform(rest_phones, lambda p: entry(_null(), p, fixed.CONF_PHONE_ONLY)),
     )
-    with_person = F.transform(
-        entries,
-        lambda e: e.withField("contact_person", C.contact_person("_text", e["contact"], F.col("_by_role"))),
+    # the name by role is the same for all contacts of a text, so it is computed outside the lambda
+    with_person = let(
+        C.role_person("_text"),
+        lambda role: F.transform(
+            entries, lambda e: e.withField("contact_person", C.contact_person("_text", e["contact"], role))
+        ),
     )
     return (
         found.select(
             key, "source_url", "business_name", "address", "website",
             C.lead_type("_text", "business_name").alias("lead_type"),
-            with_person.alias("_leads"),
+            # exploded as an expression: for a column the optimizer infers "size > 0" and pushes that
+            # filter, with the whole computation in it, down to the scan
+            F.posexplode(with_person).alias("seq", "l"),
         )
-        .select("*", F.posexplode("_leads").alias("seq", "l"))
         .select(
             key, "seq", "business_name", "l.contact_person", "l.email", "l.phone", "address", "website",
             "lead_type", "l.confidence_score", F.lit("pattern").alias("extraction_method"), "source_url",
