@@ -28,7 +28,7 @@ def _(spark, sf):
 # a page path is /xx/n, /xx/n/ or /xx/n.html; expected results follow from its folder
 _FORMS = {
     "a/b": "d || 'a/b'", "./c": "d || 'c'", "../x": "up || 'x'", "../../../e/./f/../g": "o || '/e/g'", "?q=1": "o || p || '?q=1'",
-    "#frag": "o || p || q || '#frag'", "//other.com/x": "s || '//other.com/x'", "mailto:x@y.z": "'mailto:x@y.z'", "http://z.w/?": "'http://z.w/' || CASE WHEN s = 'http:' THEN '?' ELSE '?' END",
+    "#frag": "o || p || q || '#frag'", "//other.com/x": "s || '//other.com/x'", "mailto:x@y.z": "'mailto:x@y.z'", "http://z.w/?": "'http://z.w/' || CASE WHEN s = 'http:' THEN '' ELSE '?' END",
     "/abs//x": "o || '/abs//x'", "": "url", "g?y#s": "d || 'g?y#s'", ".": "d", "..": "up",
 }
 

@@ -97,7 +97,7 @@ def _resolve(base: Column, href: Column) -> Column:
     origin = F.concat(b_scheme, F.lit("://"), b_auth)
     return (
         F.when(href == "", base)
-        .when((h_scheme != "") & ((h_scheme != b_scheme) | has_auth), href)
-        .when(has_auth, F.concat(b_scheme, F.lit(":"), href))
+        .when((h_scheme != "") & (h_scheme != b_scheme), href)
+        .when(has_auth, F.concat(b_scheme, F.lit("://"), netloc(href), h_path, tail))
         .otherwise(F.concat(origin, full_path, tail))
     )
