@@ -149,23 +149,9 @@ def _(spark, sf):
     return X.cap_per_query(hits(spark, sf), 12).select("query", "seq", "snippet")
 
 
-@query(
-    "search_job_order",
-    f"SELECT query, priority, row_number() OVER (ORDER BY priority, timestamp) AS place FROM (SELECT *, g AS timestamp FROM ({REQUESTS_SQL}) r) x",
-)
+@query("search_job_order", f"SELECT query, priority, g AS timestamp FROM ({REQUESTS_SQL}) r ORDER BY priority, timestamp")
 def _(spark, sf):
-    jobs = requests(spark, sf).withColumn("timestamp", F.col("g"))
-    ordered = X.order_jobs(jobs)
-    # the place in a sorted table: partitions are in order, so offsets by partition give it
-    numbered = ordered.select("query", "priority", "timestamp", F.monotonically_increasing_id().alias("_m"))
-    part = numbered.withColumn("_p", F.shiftright("_m", 33))
-    counts = part.groupBy("_p").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(
-        F.coalesce(F.sum("b.n"), F.lit(0)).alias("before")
-    )
-    return part.join(before, "_p").select(
-        "query", "priority", (F.col("before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place")
-    )
+    return X.order_jobs(requests(spark, sf).withColumnRenamed("g", "timestamp")).select("query", "priority", "timestamp")
 
 
 @query(
@@ -175,9 +161,10 @@ def _(spark, sf):
     (SELECT epoch(max(ts)) - epoch(min(ts)) FROM events) AS elapsed_time""",
 )
 def _(spark, sf):
-    span = table(spark, sf, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.lit(1).alias("_k"))
-    jobs = requests(spark, sf).withColumn("_k", F.lit(1)).join(span, "_k").select(
-        "query", F.col("a").alias("started_at"), F.col("b").alias("finished_at")
+    # the jobs run over the whole period of the event table
+    events = table(spark, sf, "events")
+    jobs = requests(spark, sf).select(
+        "query", events.agg(F.min("ts")).scalar().alias("started_at"), events.agg(F.max("ts")).scalar().alias("finished_at")
     )
     h = hits(spark, sf)
     return X.search_metrics(jobs, h, X.process_hits(h, LOW, CATEGORIES))

@@ -77,7 +77,8 @@ def _resolve(base: Column, href: Column) -> Column:
     h_scheme, h_path, h_query, h_frag = scheme(href), path(href), query(href), fragment(href)
     has_auth = href.rlike(_PREFIX + "//")
 
-    directory = F.regexp_replace(F.regexp_extract(b_path, r"^(.*)/[^/]*$", 1), r"/{2,}", "/")
+    folder = F.regexp_extract(b_path, r"^(.*)/[^/]*$", 1)
+    directory = F.regexp_replace(F.regexp_replace(folder, r"/{2,}", "/"), "/$", "")
     merged = (
         F.when(h_path == "", b_path)
         .when(h_path.startswith("/"), h_path)

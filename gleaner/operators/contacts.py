@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import contacts as C, fixed, html as H, urls as U
 from gleaner.functions.common import col
+from gleaner.operators.skew import salted_join
 
 
 def _tagged(kind: str, values: Column) -> Column:
@@ -78,7 +79,8 @@ def harvest_contacts(pages: DataFrame, url: str = "url", html: str = "html") ->
         pages.select(F.col(url).alias("contact_url"), F.explode(found).alias("c"))
         .select("contact_url", "c.kind", "c.value")
     )
-    return edges.join(on_page, "contact_url").select("base_url", "kind", "value").distinct()
+    # all pages of a large site may link to one contact page
+    return salted_join(edges, on_page, "contact_url").select("base_url", "kind", "value").distinct()
 
 
 def contact_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

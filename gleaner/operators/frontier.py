@@ -118,7 +118,7 @@ def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*", url: str =
     robots file or an unknown domain allows.
 
     The rules of a domain travel as one array, so a URL meets one row, not one per rule, and no
-    aggregation follows. One domain may hold a third of all URLs: the join is salted.
+    aggregation follows. One domain may hold a third of all URLs: hot domains are salted.
     """
     keyed = urls.withColumn("domain", U.domain(url))
     joined = salted_join(keyed, rules_for_agent(robots, agent), "domain", "left")

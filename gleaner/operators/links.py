@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed, html as H, urls as U
 from gleaner.functions.common import contains_any
+from gleaner.operators.skew import salted_join
 from gleaner.session import materialize
 
 
@@ -48,18 +49,22 @@ def reachable(
     Breadth first over a stored snapshot: a page counts only if it was fetched with status 200. Each
     round is one join of the newest level with the edges; it is written to the checkpoint folder,
     so the plan does not grow and a lost executor costs one round. Edges to pages that cannot be
-    fetched are removed once, before the loop.
+    fetched are removed once, before the loop. Pages that everybody links to, or that many seeds
+    have reached, are hot keys: both joins are salted.
     """
     fetched = pages.filter(F.col("status_code") == 200).select(F.col("url").alias("dst_url"))
     if domain_rule:
         edges = edges.filter(F.col("dst_url").contains(domain_rule))
     usable = materialize(
-        edges.select("src_url", "dst_url").distinct().join(fetched, "dst_url", "left_semi"), "edges"
+        salted_join(edges.select("src_url", "dst_url").distinct(), fetched, "dst_url", "left_semi").select(
+            F.col("src_url").alias("url"), "dst_url"
+        ),
+        "edges",
     )
     level = seeds.select(F.col("seed"), F.col("seed").alias("url"), F.lit(0).alias("depth")).distinct()
     levels = [level]
     for depth in range(1, max_depth + 1):
-        reached = level.join(usable, level["url"] == usable["src_url"]).select(
+        reached = salted_join(level.select("seed", "url"), usable, "url").select(
             "seed", F.col("dst_url").alias("url")
         ).distinct()
         known = levels[0].select("seed", "url")

@@ -14,12 +14,10 @@ from gleaner.functions.common import micros
 def backlog(jobs: DataFrame, leads: DataFrame) -> DataFrame:
     """One row: open search jobs, open crawl jobs, leads."""
     is_open = F.col("status").isin("pending", "in_progress")
-    counts = jobs.agg(
+    return jobs.agg(
         F.count_if(is_open & (F.col("type") == "search")).alias("search_jobs"),
         F.count_if(is_open & (F.col("type") == "crawl")).alias("crawl_jobs"),
-    ).withColumn("_k", F.lit(1))
-    n = leads.agg(F.count("*").alias("leads")).withColumn("_k", F.lit(1))
-    return counts.join(n, "_k").drop("_k")
+    ).select("search_jobs", "crawl_jobs", leads.agg(F.count("*")).scalar().alias("leads"))
 
 
 def list_jobs(jobs: DataFrame) -> DataFrame:

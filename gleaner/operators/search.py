@@ -118,11 +118,9 @@ def to_frontier(processed: DataFrame, per_query: int = fixed.CRAWLS_PER_SEARCH)
 def search_metrics(jobs: DataFrame, hits: DataFrame, processed: DataFrame) -> DataFrame:
     """One row: jobs, raw results, results after deduplication, elapsed seconds."""
     span = (micros(F.max("finished_at")) - micros(F.min("started_at"))) / F.lit(1e6)
-    j = jobs.agg(F.count("*").alias("total_jobs"), span.alias("elapsed_time"))
-    h = hits.agg(F.count("*").alias("total_results"))
-    p = processed.agg(F.count("*").alias("deduped_results"))
-    # three one-row tables: the literal key keeps these plain hash joins
-    one = F.lit(1).alias("_k")
-    return (
-        j.select("*", one).join(h.select("*", one), "_k").join(p.select("*", one), "_k").drop("_k")
+    return jobs.agg(F.count("*").alias("total_jobs"), span.alias("elapsed_time")).select(
+        "total_jobs",
+        hits.agg(F.count("*")).scalar().alias("total_results"),
+        processed.agg(F.count("*")).scalar().alias("deduped_results"),
+        "elapsed_time",
     )

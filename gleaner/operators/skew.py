@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+HOT_SHARE = 0.001
+SALTS = 64
+
+
+def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows.
+
+    There can be at most ``1 / share`` of them, whatever the data: the result may be broadcast.
+    Counting reads the key column only and sends one partial count per key and task.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") > total * F.lit(share)).select(key, F.lit(True).alias("_hot"))
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: str, how: str = "inner", salts: int = SALTS
+    left: DataFrame, right: DataFrame, on: str, how: str = "inner", salts: int = SALTS, share: float = HOT_SHARE
 ) -> DataFrame:
-    """Join a large, possibly skewed ``left`` with a ``right`` that has few rows per key.
+    """Join a possibly skewed ``left`` with ``right``.
 
-    Rows of one key are spread over ``salts`` partitions by a hash of the whole left row, and each
-    right row is repeated once per salt. The hash makes the salt repeatable when a task is retried
-    (a random salt is not). Use it only where the right side is thin; between two large tables
-    adaptive execution splits hot partitions at run time.
+    Left rows of a hot key are spread over ``salts`` tasks by a hash of the whole row, and the right
+    rows of that key are repeated once per salt; all other keys are joined as they are. A hash
+    gives the same salt when a task is retried, which a random number does not.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(left, on, share))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return spread.join(repeated, [on, "_salt"], how).drop("_salt")

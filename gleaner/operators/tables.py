@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import scoring as S, urls as U
 from gleaner.functions.common import blank_to_null, col
 from gleaner.operators import leads as L
+from gleaner.operators.skew import salted_join
 
 
 def make_id(*parts: Column) -> Column:
@@ -96,7 +97,7 @@ def lead_view(lead: DataFrame, content: DataFrame, url: DataFrame, score: DataFr
     """Leads with source URL and their first scoring; both may be missing.
 
     The first score is a minimum per lead, not a window. Source tables are joined with each other
-    before they meet the leads; adaptive execution splits a source that has very many leads.
+    before they meet the leads; a source that has very many leads is salted.
     """
     sources = content.select(F.col("id").alias("content_id"), "url_id").join(
         url.select(F.col("id").alias("url_id"), F.col("url").alias("source_url")), "url_id", "left"
@@ -110,7 +111,7 @@ def lead_view(lead: DataFrame, content: DataFrame, url: DataFrame, score: DataFr
                  "s.scoring_factors", "s.scored_at").alias("scoring"),
     )
     return (
-        lead.join(sources, "content_id", "left").join(first, "id", "left")
+        salted_join(lead, sources, "content_id", "left").join(first, "id", "left")
         .select("id", *L.LEAD_COLUMNS, "scoring")
     )
 

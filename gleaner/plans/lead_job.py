@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed, text as T
 from gleaner.operators import leads as L, tables
+from gleaner.session import materialize
 
 
 def page_texts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -32,9 +33,15 @@ def scored_leads(
     return L.score_leads(leads, now, keywords, geo)
 
 
-def run_lead_job(pages: DataFrame, now: str, **options) -> dict[str, DataFrame]:
-    """Rows for all lead tables, keyed by table name. Nothing runs until they are written."""
+def run_lead_job(pages: DataFrame, now: str, staged: bool = True, **options) -> dict[str, DataFrame]:
+    """Rows for all lead tables, keyed by table name.
+
+    Four tables are made from the same leads, and extraction is the expensive part: with ``staged``
+    the leads are extracted once into the checkpoint folder. Otherwise everything stays lazy.
+    """
     scored = scored_leads(pages, now, **options)
+    if staged:
+        scored = materialize(scored, "leads")
     lead, score = tables.store_leads(scored)
     urls, content = tables.upsert_dims(scored, now)
     return {"url": urls, "crawled_content": content, "extracted_lead": lead, "lead_score": score}

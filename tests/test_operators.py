@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import classify as K, contacts as C, html as H, normalize as N, text as T, urls as U
 from gleaner.operators import contacts as XC, frontier as Q, leads as L, links as XL, pages as P, reports as R, search as S, tables as X
-from gleaner.operators.skew import salted_join
+from gleaner.operators.skew import hot_keys, salted_join
 
 NOW = "2024-02-01 00:00:00"
 
@@ -259,8 +259,17 @@ def test_salted_join_is_a_plain_join(spark, how):
     left = spark.range(500).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"), "id")
     right = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = left.join(right, "k", how)
-    salted = salted_join(left, right, "k", how, salts=7).select(*plain.columns)
-    assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    for share in (0.0, 0.1, 1.0):  # every key hot, one key hot, none
+        salted = salted_join(left, right, "k", how, salts=7, share=share).select(*plain.columns)
+        assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_salted_join_keeps_null_keys(spark):
+    left = spark.createDataFrame([(None, 1), (1, 2), (1, 3), (2, 4)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (None, "n")], "k int, w string")
+    got = sorted(map(tuple, salted_join(left, right, "k", "left", share=0.3).select("v", "w").collect()))
+    assert got == [(1, None), (2, "a"), (3, "a"), (4, None)]
+    assert [r["k"] for r in hot_keys(left, "k", 0.5).collect()] == [1]
 
 
 # --- tables --------------------------------------------------------------------------------
@@ -297,3 +306,14 @@ def test_harvest(spark):
     ], "url string, html string")
     got = sorted(tuple(r) for r in XC.harvest_contacts(pages).collect())
     assert got == [("http://s/", "email", "a@b.co"), ("http://s/", "phone", "+1 555 123 4567")]
+
+
+def test_jobs_run_by_priority_then_time(spark):
+    jobs = spark.createDataFrame([("c", 1, 5), ("a", 0, 9), ("b", 0, 3), ("d", 1, 1)], "query string, priority int, timestamp int")
+    assert [r["query"] for r in S.order_jobs(jobs).collect()] == ["b", "a", "d", "c"]
+
+
+def test_lead_pages(spark):
+    view = spark.range(10).select(F.col("id"), F.lit(0).alias("created_at"))
+    assert [r["id"] for r in X.lead_page(view, 3, 2).collect()] == [2, 3, 4]
+    assert X.lead_page(view, None, 4).count() == 6 and X.lead_page(view, 0).count() == 10
