@@ -41,7 +41,7 @@ def _(spark, sf):
 
 
 FLAT_SCORED_SQL = f"""SELECT source_url, business_name, coalesce(email, '') AS email, coalesce(phone, '') AS phone, lead_type,
-    c / 100.0 AS completeness_score, r / 100.0 AS relevance_score, 0.0 AS freshness_score, (4 * c + 4 * r) // 10 / 100.0 AS final_score
+    c / 100.0 AS completeness_score, r / 100.0 AS relevance_score, 0.0::DOUBLE AS freshness_score, (4 * c + 4 * r) // 10 / 100.0 AS final_score
     FROM (SELECT *, 20 + 10 + CASE WHEN email IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 15 ELSE 0 END AS c,
       CASE WHEN {S.any_of("lower(business_name || ' ' || lead_type)", _KEYWORDS)} THEN 50 ELSE 0 END AS r FROM ({_FLAT}) f) g"""
 
