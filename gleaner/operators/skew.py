@@ -30,7 +30,9 @@ def salted_join(
     gives the same salt when a task is retried, which a random number does not.
     """
     hot = F.broadcast(hot_keys(left, on, share))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
+    # maps and variants have no hash
+    hashed = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")).otherwise(0)
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
     repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

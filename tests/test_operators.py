@@ -264,6 +264,12 @@ def test_salted_join_is_a_plain_join(spark, how):
         assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
+def test_salted_join_takes_map_columns(spark):
+    left = spark.range(20).select((F.col("id") % 2).alias("k"), "id", F.create_map(F.lit("a"), "id").alias("m"))
+    right = spark.range(2).select(F.col("id").alias("k"))
+    assert salted_join(left, right, "k", salts=3).count() == 20
+
+
 def test_salted_join_keeps_null_keys(spark):
     left = spark.createDataFrame([(None, 1), (1, 2), (1, 3), (2, 4)], "k int, v int")
     right = spark.createDataFrame([(1, "a"), (None, "n")], "k int, w string")
