@@ -5,11 +5,12 @@ sub-hash joins ``rows`` minima. Pairing every sub-hash of the first collection w
 gives ``side * side`` table keys of ``2 * rows`` minima each, for ``2 * side * rows`` minima in all instead of
 ``2 * rows * side ** 2``. Texts that share a key are candidates and are confirmed on full sets.
 
-A pair of similarity s shares a key with probability ``(1 - (1 - s**rows)**side)**2``: 0.99983 at s = 0.8,
-0.999995 at 0.85 with the defaults. No group is cut: within a table bucket texts are first held against the
-bucket's least text only, which joins copies into components; then every pair of a bucket that still lies
-in two components is confirmed. So each candidate pair is either joined already or looked at, and copies
-are never expanded into all pairs.
+A pair of similarity s shares a key with probability ``(1 - (1 - s**rows)**side)**2``: 0.99991 at s = 0.8,
+0.99998 at 0.85 with the defaults. No group is cut. First every text is held against the best connected text
+it shares a bucket with, which joins most copies and gathers families of half-similar texts. Then texts of
+one family that lie in different components are compared block by block, and candidates in two families
+pair by pair. So each candidate pair is either joined already or looked at, and copies are never expanded
+into all pairs.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; texts with equal
 sets are one class from the start; rows that repeat a doc_id are one document; a row without doc_id is never
@@ -31,6 +32,10 @@ from gleaner.session import materialize
 ROWS = 3
 SIDE = 14
 SEED = 20240229
+#: texts at least so many percent like the best connected text they meet are held against their whole family
+NEAR = 50
+#: shingles of a block of texts that a task holds against another block
+BLOCK = 400_000
 
 _SIGNATURE = "doc_id long, _text long, n_shingles long, _h1 long, _h2 long, _a array<long>, _b array<long>"
 
@@ -95,24 +100,97 @@ def signatures(width: int, rows: int, side: int):
     return run
 
 
-def confirm(width: int, percent: int):
-    """mapInArrow over pairs of texts: keep those with 100 * intersection >= percent * union."""
+def _percents(width: int, least: int):
+    """mapInArrow over pairs of texts: keep those with 100 * intersection >= least * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(iter([whole]), "_text_a"):
                 a, at = shingle_hashes(find_words(batch.column("_text_a"), SPACED), width)
                 b, bt = shingle_hashes(find_words(batch.column("_text_b"), SPACED), width)
-                keep = np.zeros(batch.num_rows, dtype=bool)
+                percent = np.zeros(batch.num_rows)
                 for i in range(batch.num_rows):
                     x, y = np.unique(a[at[i] : at[i + 1]]), np.unique(b[bt[i] : bt[i + 1]])
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield batch.filter(pa.array(keep)).select(["_x", "_y"])
+                    percent[i] = 100 * both // max(1, len(x) + len(y) - both)
+                keep = pa.array(percent >= least)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_x").filter(keep), batch.column("_y").filter(keep), pa.array(percent[percent >= least].astype(np.int64))],
+                    names=["_x", "_y", "_percent"],
+                )
 
     return run
 
 
+def _measured_pairs(pairs: DataFrame, full: DataFrame, width: int, least: int) -> DataFrame:
+    """``_x, _y, _percent`` (rounded down) of the pairs of nodes whose full sets are ``least`` percent alike."""
+    a = full.select(F.col("_node").alias("_x"), F.col("text").alias("_text_a"))
+    b = full.select(F.col("_node").alias("_y"), F.col("text").alias("_text_b"))
+    both = pairs.join(a, "_x").join(b, "_y").select("_x", "_y", "_text_a", "_text_b")
+    return both.mapInArrow(_percents(width, least), "_x long, _y long, _percent long").distinct()
+
+
+def _can_reach(a: str, b: str, percent: int):
+    """Sets of these sizes can be similar enough."""
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
+def _block_links(width: int, percent: int):
+    """applyInArrow: links between the foreign and all texts of a block that lie in two components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shingles, first = shingle_hashes(find_words(table.column("text"), SPACED), width)
+        sets = [np.unique(shingles[first[i] : first[i + 1]]) for i in range(table.num_rows)]
+        node, comp = np.asarray(table.column("_node")), np.asarray(table.column("_comp"))
+        side = np.asarray(table.column("_foreign"))
+        left, right = np.flatnonzero(side), np.flatnonzero(side == 0)
+        x, y = [], []
+        if len(left) and len(right):
+            values, at = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+            size = np.array([len(sets[i]) for i in right])
+            begin = np.cumsum(size) - size
+            for i in left:
+                own = np.searchsorted(values, sets[i])
+                own = own[(own < len(values))]
+                flag = np.zeros(len(values), dtype=np.int64)
+                flag[own[np.isin(values[own], sets[i], assume_unique=True)]] = 1
+                both = np.add.reduceat(flag[at], begin)
+                hit = (100 * both >= percent * (size + len(sets[i]) - both)) & (comp[right] != comp[i])
+                x += [int(node[i])] * int(hit.sum())
+                y += node[right[hit]].tolist()
+        return pa.table({"_x": pa.array(x, pa.int64()), "_y": pa.array(y, pa.int64())})
+
+    return run
+
+
+def _within_families(placed: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between texts of one family that lie in two of its components.
+
+    The texts outside a family's largest component meet all texts of the family. Both are dealt over blocks
+    of about ``BLOCK`` shingles, and a task gets one block of each, so no pair is ever a row.
+    """
+    counted = placed.groupBy("_family", "_comp").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
+    parts = counted.groupBy("_family").agg(
+        F.max(F.struct("_n", "_comp", "_s")).alias("_top"), F.count("*").alias("_parts"), F.sum("_s").alias("_sum")
+    ).filter("_parts > 1")
+    blocks = parts.select(
+        "_family", F.col("_top._comp").alias("_main"), F.ceil(F.col("_sum") / BLOCK).cast("int").alias("_right"),
+        F.ceil((F.col("_sum") - F.col("_top._s")) / BLOCK).cast("int").alias("_left"),
+    )
+    split = materialize(placed.join(blocks, "_family"), "families").join(full, "_node")
+
+    def dealt(foreign: int, own: str, other: str) -> DataFrame:
+        rows = split.filter("_comp <> _main") if foreign else split
+        block = F.pmod(F.xxhash64("_node"), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.select(
+            "_family", (block if foreign else every).alias("_bl"), F.col(other), F.col(own), "_node", "_comp", "text"
+        ).select("_family", "_bl", (every if foreign else block).alias("_br"), "_node", "_comp", F.lit(foreign).alias("_foreign"), "text")
+
+    both = dealt(1, "_left", "_right").unionByName(dealt(0, "_right", "_left"))
+    return both.groupBy("_family", "_bl", "_br").applyInArrow(_block_links(width, percent), "_x long, _y long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``edges (_x, _y)``: the least node it is connected with.
 
@@ -153,73 +231,65 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     )
     # a table bucket is (place in the one collection, place in the other, the two sub-hashes)
     keyed = (
-        classes.select("_node", "_text", "n_shingles", F.posexplode("_a").alias("_i", "_va"), "_b")
-        .select("_node", "_text", "n_shingles", "_i", "_va", F.posexplode("_b").alias("_j", "_vb"))
-        .select(F.xxhash64("_i", "_va", "_j", "_vb").alias("_key"), F.struct("_node", "_text", "n_shingles").alias("_c"))
+        classes.select("_node", "n_shingles", F.posexplode("_a").alias("_i", "_va"), "_b")
+        .select("_node", "n_shingles", "_i", "_va", F.posexplode("_b").alias("_j", "_vb"))
+        .select(F.xxhash64("_i", "_va", "_j", "_vb").alias("_key"), "_node", "n_shingles")
     )
     bucket = Window.partitionBy("_key")
     shared = materialize(
-        keyed.withColumn("_least", F.min("_c").over(bucket)).withColumn("_greatest", F.max("_c").over(bucket))
-        .filter("_least <> _greatest").select("_key", "_c", "_least"),
+        keyed.withColumn("_k", F.count("*").over(bucket)).filter("_k > 1"),
         "buckets",
     )
-
-    def can_reach(a: str, b: str):
-        """Sets of these sizes can be similar enough."""
-        small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
-        return F.lit(100) * small >= F.lit(percent) * large
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of ``pairs (_p, _q)`` of classes those whose full sets are similar, as node ids."""
-        a = texts.select(F.col("doc_id").alias("_x"), F.col("_text").alias("_tx"), F.col("text").alias("_text_a"))
-        b = texts.select(F.col("doc_id").alias("_y"), F.col("_text").alias("_ty"), F.col("text").alias("_text_b"))
-        named = pairs.select(
-            F.col("_p._node").alias("_x"), F.col("_p._text").alias("_tx"),
-            F.col("_q._node").alias("_y"), F.col("_q._text").alias("_ty"),
-        )
-        return (
-            named.join(a, ["_x", "_tx"]).join(b, ["_y", "_ty"]).select("_x", "_y", "_text_a", "_text_b")
-            .mapInArrow(confirm(width, percent), "_x long, _y long").distinct()
-        )
-
-    # first each class against the least of all the classes it meets
-    nearest = (
-        shared.filter(F.col("_c") != F.col("_least")).filter(can_reach("_c", "_least"))
-        .groupBy("_c").agg(F.min("_least").alias("_q")).select(F.col("_c").alias("_p"), "_q")
+    # each class goes to the best connected class it meets, which in a group of copies is their source
+    degree = shared.groupBy("_node").agg(F.sum("_k").alias("_degree"))
+    ranked = F.struct("_degree", F.col("_node").alias("_lead"), F.col("n_shingles").alias("_size"))
+    led = shared.join(degree, "_node").withColumn("_top", F.max(ranked).over(bucket))
+    nearest = materialize(
+        led.filter(F.col("_node") != F.col("_top._lead")).filter(_can_reach("n_shingles", "_top._size", percent))
+        .groupBy("_node").agg(F.max("_top").alias("_top")).select(F.col("_node").alias("_x"), F.col("_top._lead").alias("_y")),
+        "nearest",
     )
-    edges = materialize(confirmed(nearest), "links")
+    full = classes.select("_node", "_text").join(
+        texts.withColumnRenamed("doc_id", "_node"), ["_node", "_text"]
+    ).select("_node", "text")
+    close = materialize(_measured_pairs(nearest, full, width, min(NEAR, percent)), "close")
     # a document with several texts ties their classes together
     twofold = (
         usable.join(classes.select("_h1", "_h2", "n_shingles", "_node"), ["_h1", "_h2", "n_shingles"])
         .filter("doc_id <> _node").select(F.col("doc_id").alias("_x"), F.col("_node").alias("_y"))
         .join(classes.select(F.col("_node").alias("_x")).distinct(), "_x", "semi")
     )
-    edges = edges.union(twofold)
-    first = components(edges)
-    # then every pair of a bucket whose classes lie in different components
-    placed = (
-        shared.join(first.withColumnRenamed("node", "_n"), F.col("_c._node") == F.col("_n"), "left")
-        .select("_key", "_c", F.coalesce("component", "_c._node").alias("_comp"))
+    links = close.filter(F.col("_percent") >= percent).select("_x", "_y").union(twofold)
+    joined = components(links)
+    families = components(close.select("_x", "_y").union(twofold))
+    placed = materialize(
+        classes.select("_node", "n_shingles")
+        .join(joined.select(F.col("node").alias("_node"), "component"), "_node", "left")
+        .join(families.select(F.col("node").alias("_node"), F.col("component").alias("_family")), "_node", "left")
+        .select("_node", "n_shingles", F.coalesce("component", "_node").alias("_comp"), F.coalesce("_family", "_node").alias("_family")),
+        "placed",
     )
-    counted = placed.groupBy("_key", "_comp").agg(F.count("*").alias("_k"))
-    main = (
-        counted.groupBy("_key").agg(F.max(F.struct("_k", "_comp")).alias("_top"), F.count("*").alias("_comps"))
-        .filter("_comps > 1").select("_key", F.col("_top._comp").alias("_main"))
+    # candidates in two families, pair by pair
+    mixed = (
+        shared.select("_key", "_node").join(placed, "_node")
+        .withColumn("_low", F.min("_family").over(bucket)).withColumn("_high", F.max("_family").over(bucket)).filter("_low < _high")
     )
-    mixed = materialize(placed.join(main, "_key"), "mixed")
-    foreign = mixed.filter("_comp <> _main").select("_key", F.col("_c").alias("_p"), F.col("_comp").alias("_cp"))
-    other = mixed.select("_key", F.col("_c").alias("_q"), F.col("_comp").alias("_cq"), "_main")
-    rest = (
-        foreign.join(other, "_key")
-        .filter("_cp <> _cq AND (_cq = _main OR _p < _q)").filter(can_reach("_p", "_q"))
-        .select("_p", "_q").distinct()
-        .join(nearest, ["_p", "_q"], "anti")
-        .join(nearest.select(F.col("_p").alias("_q"), F.col("_q").alias("_p")), ["_p", "_q"], "anti")
+    counted = mixed.groupBy("_key", "_family").agg(F.count("*").alias("_k"))
+    main = counted.groupBy("_key").agg(F.max(F.struct("_k", "_family")).alias("_m")).select("_key", F.col("_m._family").alias("_main"))
+    mixed = materialize(mixed.join(main, "_key").select("_key", "_node", "n_shingles", "_family", "_main"), "mixed")
+    p = mixed.filter("_family <> _main").select("_key", F.col("_node").alias("_x"), F.col("n_shingles").alias("_sx"), F.col("_family").alias("_fx"))
+    q = mixed.select("_key", F.col("_node").alias("_y"), F.col("n_shingles").alias("_sy"), F.col("_family").alias("_fy"), "_main")
+    pairs = (
+        p.join(q, (p["_key"] == q["_key"]) & (F.col("_fx") != F.col("_fy")) & ((F.col("_fy") == F.col("_main")) | (F.col("_x") < F.col("_y"))))
+        .filter(_can_reach("_sx", "_sy", percent)).select("_x", "_y").distinct()
     )
-    rest = materialize(rest, "pairs")
-    if not rest.isEmpty():
-        more = materialize(confirmed(rest), "links")
-        first = components(edges.union(more))
+    across = _measured_pairs(materialize(pairs, "pairs"), full, width, percent).select("_x", "_y")
+    # texts of one family in two components, block by block
+    within = _within_families(placed, full, width, percent)
+    more = materialize(across.union(within), "links")
+    if not more.isEmpty():
+        joined = components(joined.select(F.col("node").alias("_x"), F.col("component").alias("_y")).union(more))
+    first = joined
     group = classes.select("_h1", "_h2", "n_shingles", "_node").join(
         first.withColumnRenamed("node", "_node"), "_node", "left"
     ).select("_h1", "_h2", "n_shingles", F.coalesce("component", "_node").alias("_component"))
