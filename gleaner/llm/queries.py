@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.decontam import contamination
 from gleaner.llm.dedup import near_duplicates
+from gleaner.llm.packing import pack
+from gleaner.llm.rules import judged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +18,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op6_decontamination": op6_decontamination,
+    "op10_weak_supervision": op10_weak_supervision,
 }
 
 ORACLES: dict[str, str] = {}
