@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.chat import formatted
 from gleaner.llm.decontam import contamination
 from gleaner.llm.dedup import near_duplicates
+from gleaner.llm.extraction import main_text
+from gleaner.llm.licenses import license_scan
 from gleaner.llm.packing import pack
+from gleaner.llm.pii import surrogates
+from gleaner.llm.quality import quality_scores
 from gleaner.llm.rules import judged
+from gleaner.llm.warc import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,22 +28,58 @@ def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+#: a conversation whose texts are control strings, formatted beside those of the table
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op2_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], table.schema)
+    return formatted(table.unionByName(more))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures(_table(spark, sf_dir, "pages"))
+
+
+def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates(_table(spark, sf_dir, "documents"))
+
+
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
+    "op2_prefix_tree": op2_prefix_tree,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_warc_transactions": op4_warc_transactions,
+    "op5_license_index": op5_license_index,
     "op6_decontamination": op6_decontamination,
+    "op7_block_labeller": op7_block_labeller,
+    "op8_positive_unlabelled": op8_positive_unlabelled,
+    "op9_surrogates": op9_surrogates,
     "op10_weak_supervision": op10_weak_supervision,
 }
 
