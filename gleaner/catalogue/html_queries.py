@@ -84,14 +84,15 @@ def _(spark, sf):
 
 @query(
     "sitemap_urls",
-    """SELECT regexp_extract(url, '//([^/]*)', 1) AS domain, url FROM pages""",
+    """SELECT regexp_extract(url, '//([^/]*)', 1) AS domain, unnest([url, url || '&a=1', url || '#b']) AS url FROM pages""",
 )
 def _(spark, sf):
-    # one sitemap per page: a location element in the usual surroundings
+    # one sitemap per page: locations in the usual surroundings, as CDATA, with attributes
     xml = F.concat(
         F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url>\n <loc> '),
         F.replace("url", F.lit("&"), F.lit("&amp;")),
-        F.lit("\n</loc><lastmod>2024-01-01</lastmod></url></urlset>"),
+        F.lit("\n</loc><lastmod>2024-01-01</lastmod></url><url><loc><![CDATA["), F.col("url"), F.lit("&a=1]]></loc></url><url><loc xml:lang='en'>"),
+        F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("#b</loc></url></urlset>"),
     )
     maps = table(spark, sf, "pages").select(F.regexp_extract("url", "//([^/]*)", 1).alias("domain"), xml.alias("xml"))
     return readers.sitemap_urls(maps).select("domain", "url")

@@ -173,6 +173,22 @@ def _(spark, sf):
 _REGIONS = "(VALUES " + ", ".join(f"('{c}', {lo}, {hi}, '^[{lead}]')" for _, c, _, lo, hi, lead in fixed.PHONE_REGIONS) + ") r(code, lo, hi, lead)"
 
 
+# calling codes without a plan above, written out: 2-digit codes, then blocks of 3-digit codes
+_OTHER_CODES = (
+    "51 53 56 57 58 63 84 93 95 98 36 40 43 47".split()
+    + [f"{block}{d}" for block in "21 22 23 24 25 26 28 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split() for d in range(10)]
+)
+_OTHERS = (
+    "(SELECT unnest([" + ", ".join(f"'{c}'" for c in _OTHER_CODES if c not in {r[1] for r in fixed.PHONE_REGIONS}) + "]) AS code, "
+    "4 AS lo, 13 AS hi, '^[0-9]' AS lead)"
+)
+# numbers of countries with and without a plan
+_ABROAD = [
+    "+420 212 345 678", "+972 3 123 4567", "+40 21 123 4567", "+380 44 123 4567", "+852 2123 4567", "+56 2 2123 4567", "+36 1 234 5678",
+    "+57 1 234 5678", "+66 2 123 4567", "+1 212 555 0100", "+999 1", "+100 200 300", "0036 1 234 5678",
+]
+
+
 def _home(d: str) -> str:
     ok = f"length({d}) = 10 AND regexp_matches({d}, '^[1-9]')"
     return f"CASE WHEN {ok} THEN '+91' || {d} END"
@@ -181,11 +197,12 @@ def _home(d: str) -> str:
 @query(
     "phones_e164",
     f"""WITH v AS (SELECT DISTINCT value FROM (SELECT unnest({S.every('text', S.PHONE)}) AS value FROM ({CQ.TEXTS_SQL}) t) u
+        UNION SELECT unnest({S.sql_list(_ABROAD)}) AS value
         UNION SELECT '0' || c_custkey::VARCHAR || '9876543' AS value FROM customer UNION SELECT '00' || c_custkey::VARCHAR || '98765432' AS value FROM customer),
     d AS (SELECT value, {S.sub(S.strip('value'), '[^0-9]')} AS digits, starts_with({S.strip('value')}, '+') AS plus FROM v),
     i AS (SELECT d.value, d.plus, max('+' || x.n) AS e164 FROM (SELECT value, plus, digits AS n FROM d WHERE plus
         UNION ALL SELECT value, plus, digits[3:] AS n FROM d WHERE starts_with(digits, '00')) x JOIN d ON d.value = x.value AND d.plus = x.plus
-        JOIN {_REGIONS} ON starts_with(x.n, r.code) AND length(x.n) - length(r.code) BETWEEN r.lo AND r.hi
+        JOIN (SELECT * FROM {_REGIONS} UNION ALL SELECT * FROM {_OTHERS}) r ON length(x.n) <= CASE WHEN r.lo = 4 THEN 15 ELSE 99 END AND starts_with(x.n, r.code) AND length(x.n) - length(r.code) BETWEEN r.lo AND r.hi
         AND regexp_matches(x.n[length(r.code) + 1:], r.lead) WHERE x.n = d.digits AND d.plus OR NOT d.plus GROUP BY d.value, d.plus)
     SELECT d.value AS phone, coalesce(CASE WHEN d.plus THEN i.e164 END, {_home('digits')}, CASE WHEN starts_with(digits, '00') THEN i.e164 END,
       CASE WHEN starts_with(digits, '0') THEN {_home('digits[2:]')} END, CASE WHEN starts_with(digits, '91') THEN {_home('digits[3:]')} END, '') AS e164
@@ -196,7 +213,8 @@ def _(spark, sf):
     c = table(spark, sf, "customer")
     trunk = c.select(F.expr("concat('0', c_custkey, '9876543')").alias("phone"))
     abroad = c.select(F.expr("concat('00', c_custkey, '98765432')").alias("phone"))
-    phones = found.union(trunk).union(abroad).distinct()
+    foreign = c.agg(F.count("*")).select(F.explode(F.array(*[F.lit(x) for x in _ABROAD])).alias("phone"))
+    phones = found.union(trunk).union(abroad).union(foreign).distinct()
     return phones.select("phone", N.normalize_phone("phone").alias("e164"))
 
 

@@ -171,3 +171,6 @@ PHONE_REGIONS = [
     ("BR", "55", "0", 10, 11, "1-9"), ("MX", "52", "", 10, 10, "1-9"), ("AR", "54", "0", 10, 11, "1-9"),
 ]
 DEFAULT_REGION = "IN"
+# fixed values: calling codes of two and of three digits, as patterns; E.164 allows 15 digits in all
+CALLING_CODES = r"^(?:(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|(?:2[1-689]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9])"
+NATIONAL_DIGITS = (4, 13)

@@ -25,6 +25,9 @@ ITEMTYPE_TAG = r"(?is)<[a-z][a-z0-9]*+\s[^>]*?\bitemtype\s*=[^>]*+>"
 ATTRIBUTE = r"(?s)([a-zA-Z_:@][a-zA-Z0-9_:.@-]*+)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]++)"
 CHROME = r"(?is)<(" + "|".join(fixed.CHROME_TAGS) + r")\b[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)"
 FORM = r"(?i)<form\b"
+FORM_TAG = r"(?is)<form([^>]*+)(?:>|\z)"
+LOCATION = r"(?s)<loc(?:\s[^>]*+)?>((?:[^<]++|<!\[CDATA\[.*?(?:\]\]>|\z))*+)</loc\s*+>"
+CDATA = r"(?s)<!\[CDATA\[(.*?)(?:\]\]>|\z)"
 
 
 def _unquote(value: Column) -> Column:
@@ -192,7 +195,13 @@ def has_form(html: Column | str) -> Column:
 
 
 def has_contact_form(html: Column | str) -> Column:
-    return col(html).rlike(r"(?i)<form[^>]*action=[^>]*contact")
+    """Whether a form tag has "contact" somewhere after "action="; a tag never closed runs to the end."""
+    def after(tag: Column) -> Column:
+        lowered = F.lower(tag)
+        at = F.instr(lowered, "action=")
+        return (at > 0) & (F.instr(F.substr(lowered, at + F.lit(7)), "contact") > 0)
+
+    return F.exists(find_all(html, FORM_TAG, 1), after)
 
 
 def next_href(html: Column | str) -> Column:
@@ -201,6 +210,9 @@ def next_href(html: Column | str) -> Column:
 
 
 def sitemap_locations(xml: Column | str) -> Column:
-    return F.transform(
-        find_all(xml, rf"(?s)<loc>[{WS}]*+([^<]+?)[{WS}]*+</loc>", 1), html_unescape
-    )
+    """Contents of the location elements; CDATA sections stand for themselves, other text is decoded."""
+    def address(inner: Column) -> Column:
+        literal = F.regexp_replace(inner, CDATA, "$1")
+        return strip(F.when(inner.contains("<![CDATA["), literal).otherwise(html_unescape(inner)))
+
+    return F.filter(F.transform(find_all(xml, LOCATION, 1), address), lambda x: x != "")

@@ -87,7 +87,8 @@ def normalize_phone(
     Tried in this order: international form; ten digits as a number of the default region; any
     form of the default region (trunk prefix, international prefix 00, calling code without plus).
     The plans are a small fixed table, so they become literals in the plan and no join is needed;
-    no calling code is the prefix of another, so at most one matches.
+    no calling code is the prefix of another, so at most one matches. Countries without a plan of their
+    own are held against the assigned calling codes and the lengths that E.164 allows.
     """
     by_code = F.create_map(
         *[x for r in regions for x in (
@@ -104,12 +105,14 @@ def normalize_phone(
 
     def international(digits: Column) -> Column:
         plan = F.coalesce(*[F.try_element_at(by_code, F.substring(digits, 1, n)) for n in (3, 2, 1)])
+        rest = F.length(digits) - F.length(F.regexp_extract(digits, fixed.CALLING_CODES, 0))
+        assigned = digits.rlike(fixed.CALLING_CODES) & rest.between(*fixed.NATIONAL_DIGITS) & (F.length(digits) <= 15)
         return let(
             plan,
-            lambda p: let(
+            lambda p: F.when(p.isNull(), F.when(assigned, F.concat(F.lit("+"), digits))).otherwise(let(
                 F.substr(digits, F.length(p["code"]) + 1),
                 lambda n: F.when(valid(p, n), F.concat(F.lit("+"), digits)),
-            ),
+            )),
         )
 
     def national(digits: Column) -> Column:

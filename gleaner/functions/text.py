@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,36 +28,51 @@ TAG_RUN = (
     rf"(?:<(?=[a-zA-Z/!?]){_TAG_REST})*+"
 )
 
-_ENTITY_NAMES = {name: chr(cp) for name, cp in sorted(name2codepoint.items())} | {"apos": "'"}
-# one literal that the optimizer folds into a map; spelled as 500 literals it would slow planning
-_ENTITY_TEXT = "\x01".join(f"{name}\x02{char}" for name, char in _ENTITY_NAMES.items())
+# names in the order they are tried: those that pages use most, then all others
+_COMMON = ["amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "lsquo", "ldquo", "rdquo", "eacute"]
+_NAMES = sorted((n[:-1] for n in html5 if n.endswith(";")), key=lambda n: (n not in _COMMON, n))
+# one literal that the optimizer folds into a map; spelled as two thousand literals it would slow planning
+_ENTITY_TEXT = "\x01".join(f"{name}\x02{html5[name + ';']}" for name in _NAMES)
+# names that are also read without a semicolon, the longest first
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+# numbers 128 to 159 mean the characters of Windows-1252
+_REMAPPED = {chr(i): bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
+_REMAP_FROM = "".join(k for k, v in _REMAPPED.items() if v)
+_REMAP_TO = "".join(v for v in _REMAPPED.values() if v)
+REFERENCE = rf"^(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]*+;|(?:{_BARE}))"
 
 
 def _char(code_point: Column) -> Column:
+    """Character of a number; numbers that are none, or too large to be read, give U+FFFD."""
     ok = code_point.between(1, 0x10FFFF) & ~code_point.between(0xD800, 0xDFFF)
     encoded = F.unhex(F.lpad(F.hex(F.when(ok, code_point).otherwise(F.lit(0xFFFD))), 8, "0"))
-    return F.decode(encoded, "UTF-32")
+    return F.translate(F.decode(encoded, "UTF-32"), _REMAP_FROM, _REMAP_TO)
 
 
 def html_unescape(c: Column | str) -> Column:
-    """Decode character references (named ones of HTML 4, decimal and hexadecimal)."""
+    """Decode character references as HTML 5 does: all names, any number of digits, and without a
+    semicolon where that is allowed. An unknown name with a semicolon is read up to the longest known
+    name that needs none (``&notit;``)."""
     names = F.str_to_map(F.lit(_ENTITY_TEXT), F.lit("\x01"), F.lit("\x02"))
-    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
     def char(ref: Column) -> Column:
-        hexed = F.conv(F.substr(ref, F.lit(3)), 16, 10)
+        body = F.rtrim(ref, F.lit(";"))
+        hexed = F.conv(F.substr(body, F.lit(3)), 16, 10)
         return (
-            F.when(ref.rlike("^#[0-9]"), _char(F.substr(ref, F.lit(2)).try_cast("bigint")))
+            F.when(ref.rlike("^#[0-9]"), _char(F.substr(body, F.lit(2)).try_cast("bigint")))
             .when(ref.startswith("#"), _char(hexed.try_cast("bigint")))
-            .otherwise(F.try_element_at(names, ref))
+            .otherwise(F.try_element_at(names, body))
         )
 
     def piece(s: Column, i: Column) -> Column:
         def decoded(ref: Column) -> Column:
-            rest = F.substr(s, F.length(ref) + F.lit(2))
-            return F.coalesce(F.concat(char(ref), rest), F.concat(F.lit("&"), s))
+            rest = F.substr(s, F.length(ref) + F.lit(1))
+            return F.when(ref != "", F.concat(char(ref), rest))
 
-        return F.when(i == 0, s).otherwise(let(F.regexp_extract(s, reference, 1), decoded))
+        bare = F.regexp_extract(s, rf"^(?:{_BARE})", 0)
+        return F.when(i == 0, s).otherwise(
+            F.coalesce(let(F.regexp_extract(s, REFERENCE, 0), decoded), let(bare, decoded), F.concat(F.lit("&"), s))
+        )
 
     return let(
         col(c),

@@ -80,13 +80,15 @@ def page_signals(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 def first_by_canonical(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """One page per canonical URL: the one whose own URL comes first.
 
-    A minimum over (url, row) is combined on the map side, so a canonical URL shared by very many
-    copies costs one row per task in the shuffle.
+    The choice is a minimum over two narrow columns, combined on the map side, so a canonical URL
+    shared by very many copies costs one row per task; the pages themselves are only filtered by their
+    own URL. A URL stored more than once keeps its version of least hash; identical rows stay.
     """
-    keyed = pages.withColumn("canonical_url", H.canonical_url(html, url))
-    rest = [c for c in pages.columns if c != url]
-    best = keyed.groupBy("canonical_url").agg(F.min(F.struct(url, *rest)).alias("page"))
-    return best.select("page.*", "canonical_url")
+    keyed = pages.withColumns({"canonical_url": H.canonical_url(html, url), "_version": F.xxhash64(html)})
+    best = keyed.select("canonical_url", url, "_version").groupBy("canonical_url").agg(F.min(F.struct(url, "_version")).alias("_b"))
+    chosen = best.select("canonical_url", F.col(f"_b.{url}").alias(url), "_b._version")
+    kept = keyed.join(chosen, ["canonical_url", url, "_version"], "semi")
+    return kept.select(*pages.columns, "canonical_url")
 
 
 class _MainText(HTMLParser):
