@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts; the length follows the text."""
     ship_package(spark)
-    replaced = with_surrogates(docs).drop("_kinds")
+    replaced = with_surrogates(docs)
     if "n_chars" in docs.columns:
         replaced = replaced.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return replaced.select(*docs.columns)

@@ -283,8 +283,8 @@ def _replace(key: str):
     return run
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with its entities replaced in ``text``, and ``_kinds``: the kinds replaced in each text."""
+def _surrogated(docs: DataFrame, key: str) -> DataFrame:
+    """``docs``, which has no column named as those added here, with new texts and ``_kinds``."""
     keyed = docs.withColumn("_text", F.xxhash64("text"))
     entities = materialize(keyed.select("_text", "text").mapInArrow(_find, "_text long, kind string, value string"), "entities")
     again = redrawn(entities.select("kind", "value").distinct(), key)
@@ -293,14 +293,21 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
         .groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_again")),
         "redrawn",
     )
-    joined = keyed.join(by_text, "_text", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_again")
+    joined = keyed.join(by_text, "_text", "left").select(*docs.columns, "_again")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return joined.mapInArrow(_replace(key), f"{schema}, _kinds array<string>")
 
 
+def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with the entities in ``text`` replaced; same columns."""
+    own = {c: c if c == "text" else f"_own_{c}" for c in docs.columns}
+    replaced = _surrogated(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), key)
+    return replaced.select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
+
+
 def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``doc_id, text, n_entities, kinds``: one row per document with its new text."""
-    return with_surrogates(docs.select("doc_id", "text"), key).select(
+    return _surrogated(docs.select("doc_id", "text"), key).select(
         "doc_id", "text", F.size("_kinds").cast("long").alias("n_entities"),
         F.array_join(F.array_sort(F.array_distinct("_kinds")), ",").alias("kinds"),
     )
