@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from html.parser import HTMLParser
 
@@ -106,50 +107,54 @@ class _MainText(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.pieces: list[str] = []
         self.open: list[tuple[str, int]] = []
+        self.held: Counter[str] = Counter()
         self.main: tuple[int, int] | None = None
         self.divs: list[tuple[int, int]] = []
-        self.skip: str | None = None
-        self.depth = 0
+        self.skip_from: int | None = None  # place of the outermost open furniture
         self.body_from = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skip:
-            self.depth += tag == self.skip
-        elif tag in self.CHROME:
-            self.skip, self.depth = tag, 1
-        elif tag == "body":
+        if tag in self.VOID:
+            return
+        if tag in self.CHROME and self.skip_from is None:
+            self.skip_from = len(self.open)
+        if tag == "body":
             self.body_from = len(self.pieces)
-        elif tag in ("main", "div"):
-            self.open.append((tag, len(self.pieces)))
+        self.open.append((tag, len(self.pieces)))
+        self.held[tag] += 1
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        """An element without content."""
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skip:
-            self.depth -= tag == self.skip
-            if self.depth == 0:
-                self.skip = None
-        elif tag in ("main", "div"):
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] == tag:
-                    for name, start in self.open[at:]:
-                        self._closed(name, start)
-                    del self.open[at:]
-                    break
+        """Close the element and all that is still open in it; furniture ends with its parent."""
+        if not self.held[tag]:
+            return
+        while True:
+            name, start = self.open.pop()
+            self.held[name] -= 1
+            if self.skip_from is None or len(self.open) < self.skip_from:
+                self._closed(name, start)
+            if self.skip_from is not None and len(self.open) <= self.skip_from:
+                self.skip_from = None
+            if name == tag:
+                return
 
     def _closed(self, name: str, start: int) -> None:
         span = (start, len(self.pieces))
         if name == "div":
             self.divs.append(span)
-        elif self.main is None:
+        elif name == "main" and self.main is None:
             self.main = span
 
     def handle_data(self, data: str) -> None:
         stripped = data.strip()
-        if stripped and not self.skip:
+        if stripped and self.skip_from is None:
             self.pieces.append(stripped)
 
     def result(self) -> str:
         self.close()
-        for name, start in self.open:
+        for name, start in self.open[: self.skip_from]:
             self._closed(name, start)
         if self.main:
             a, b = self.main

@@ -7,13 +7,17 @@ instead of being looked up by a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import scoring as S, urls as U
 from gleaner.functions.common import blank_to_null, col
 from gleaner.operators import leads as L
 from gleaner.operators.skew import salted_join
+from gleaner.session import materialize
+
+#: pages that end before this row are taken as the least rows of each task
+NEAR_PAGES = 10_000
 
 
 def make_id(*parts: Column) -> Column:
@@ -117,11 +121,28 @@ def lead_view(lead: DataFrame, content: DataFrame, url: DataFrame, score: DataFr
 
 
 def lead_page(view: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` by creation time and id; no limit, or 0, means all."""
-    out = view.orderBy("created_at", "id")
-    if offset:
-        out = out.offset(offset)
-    return out.limit(limit) if limit else out
+    """Rows ``offset`` to ``offset + limit`` by creation time and id; no limit, or 0, means all.
+
+    Pages near the start are the least rows of each task. Others are found by number: rows are dealt by
+    ranges and written once, and the number of rows in the ranges before tells where a range begins,
+    so no task sorts more than its range.
+    """
+    if limit and offset + limit <= NEAR_PAGES or not offset:
+        out = view.orderBy("created_at", "id")
+        out = out.offset(offset) if offset else out
+        return out.limit(limit) if limit else out
+    dealt = materialize(
+        view.repartitionByRange("created_at", "id").withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("created_at", "id"))
+    numbered = dealt.withColumn("_own", own).join(starts, "_range").withColumn("_at", F.col("_start") + F.col("_own"))
+    wanted = F.col("_at") > offset
+    if limit:
+        wanted &= F.col("_at") <= offset + limit
+    return numbered.filter(wanted).orderBy("created_at", "id").select(*view.columns)
 
 
 def lead_stats(lead: DataFrame) -> DataFrame:

@@ -196,3 +196,13 @@ def test_sitemap_locations(one, xml, found):
 ])
 def test_contact_form(one, html, there):
     assert one(H.has_contact_form("t"), [html]) == [there]
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<div><nav>menu</div><main>real text</main>", "real text"), ("<div><form><p>x</div><div>much more text</div>", "much more text"),
+    ("<main>a<nav>m<nav>n</nav>o</nav>b</main>c", "a b"), ("<body>x<nav>m", "x"), ("<nav>m</nav></main>y<br/>z", "y z"), ("", ""),
+])
+def test_main_text(html, text):
+    from gleaner.operators.pages import _main_text
+
+    assert _main_text(html) == text
