@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import SPACED, find_words, mix, text_slices
+from gleaner.operators import graph
 from gleaner.session import materialize
 
 ROWS = 3
@@ -192,30 +193,8 @@ def _within_families(placed: DataFrame, full: DataFrame, width: int, percent: in
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` of every node of ``edges (_x, _y)``: the least node it is connected with.
-
-    Alternates two star steps: nodes pass their least neighbour to larger, then to smaller neighbours,
-    until the edges are stars. Each round is a table in the checkpoint folder; the number of rounds grows
-    with the logarithm of the longest chain.
-    """
-    edges = materialize(
-        edges.filter("_x <> _y").select(F.greatest("_x", "_y").alias("_x"), F.least("_x", "_y").alias("_y")).distinct(), "edges"
-    )
-    before = None
-    while True:
-        both = edges.union(edges.select("_y", "_x"))
-        least = both.groupBy("_x").agg(F.least(F.min("_y"), F.first("_x")).alias("_m"))
-        large = both.join(least, "_x").filter("_y > _x").select(F.col("_y").alias("_x"), F.col("_m").alias("_y"))
-        large = large.filter("_x <> _y").distinct()
-        least = large.groupBy("_x").agg(F.min("_y").alias("_m"))
-        small = large.join(least, "_x").select(F.explode(F.array(
-            F.struct(F.col("_y").alias("_x"), F.col("_m").alias("_y")), F.struct("_x", F.col("_m").alias("_y"))
-        )).alias("e")).select("e.*")
-        edges = materialize(small.filter("_x <> _y").distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("_x", "_y").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("_x").alias("node"), F.col("_y").alias("component"))
-        before = state
+    """``node, component`` of every node of ``edges (_x, _y)`` but the least ones of components."""
+    return graph.components(edges, "_x", "_y")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, side: int = SIDE) -> DataFrame:

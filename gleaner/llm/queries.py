@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage, each over whole tables, and the SQL that checks them."""
+"""The registered queries of this subpackage, each over whole tables, and the SQL that checks them.
+
+Queries without SQL are held against brute force in ``tests/llm``: token ids, trained models, keyed
+replacements and estimates have no SQL.
+"""
 
 from __future__ import annotations
 
@@ -35,7 +39,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op2_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations")
     more = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], table.schema)
-    return formatted(table.unionByName(more))
+    return formatted(table.unionByName(more)).drop("tree_leaf")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,8 @@ def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match", "match_start", "match_item")
 
 
 def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +88,42 @@ QUERIES: dict[str, Query] = {
     "op10_weak_supervision": op10_weak_supervision,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_ESCAPED = r"length(replace(replace({0}, '\', '\\'), '<|', '<\|'))"
+
+ORACLES: dict[str, str] = {
+    "op2_prefix_tree": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}'))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(24 + {_ESCAPED.format('role')} + (length(role) - length(replace(role, chr(10), ''))) + {_ESCAPED.format('text')})::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
+    "op3_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+            ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+        flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (na + nb - k)),
+        walk AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, v.root FROM walk v JOIN links l ON l.a = v.doc_id),
+        least AS (SELECT doc_id, min(root) AS component_id FROM walk GROUP BY doc_id)
+        SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)""",
+    "op4_warc_transactions": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+        d AS (SELECT page_id, payload_bytes, x, min(page_id) OVER (PARTITION BY x) AS first, array_to_string(list_transform(range(32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op6_decontamination": f"""WITH dw AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+        bw AS (SELECT item_id::VARCHAR AS item, w, least(len(w), 10) AS k FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) b WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM bw) x),
+        grams AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM
+            (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM windows) ks WHERE len(w) >= k) x),
+        hits AS (SELECT doc_id, i, grams.k, item FROM grams JOIN windows ON grams.k = windows.k AND grams.g = windows.g),
+        marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) m GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) f GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)""",
+}
