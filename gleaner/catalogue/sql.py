@@ -63,6 +63,7 @@ def sql_list(words: list[str]) -> str:
     return "[" + ", ".join(q(w) for w in words) + "]"
 
 
+# fixed values: patterns and word lists that the checks share with the engine
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+"
 PHONE = rf"\+?\p{{Nd}}[\p{{Nd}}{WS}().-]{{7,}}\p{{Nd}}"
 NAME_RUN = rf"a-zA-Z0-9&{WS}'-"

@@ -146,8 +146,16 @@ UPDATED_BANDS = [(30, 30), (180, 20), (365, 10)]
 SOCIAL_BANDS = [(30, 20), (180, 10)]
 REVIEW_BANDS = [(30, 10)]
 
+# --- stored model responses ----------------------------------------------------------------
+# fixed values: what a lead gets that the model left open
+MODEL_LEAD_TYPE = "travel_business"
+MODEL_METHOD = "ai_extraction"
+
 # --- operations ----------------------------------------------------------------------------
 # fixed values: job time limits in seconds
+# and the messages of failed jobs
+JOB_LATE = ("Job timed out after ", " seconds")
+JOB_EMPTY = "No result or exception returned"
 JOB_TIMEOUTS = {"search": 30.0, "crawl": 25.0, "lead_processing": 20.0}
 
 # --- phone regions -------------------------------------------------------------------------

@@ -34,7 +34,8 @@ def normalize_business_name(c: Column | str, ascii_only: bool = False) -> Column
     """
     name = strip(c)
     if not ascii_only:
-        name = _decompose(name)
+        # names in ASCII are their own decomposition; Python gets NULL for them
+        name = F.coalesce(_decompose(F.when(F.length(name) != F.octet_length(name), name)), name)
     kept = F.regexp_replace(name, rf"[^{WORD}{WS}&-]", "")
     # a capital follows anything that is not a letter
     pieces = F.regexp_extract_all(kept, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))

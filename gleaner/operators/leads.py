@@ -204,9 +204,9 @@ def parse_model_leads(
     ).select("source_url", "seq", F.from_json("object", MODEL_LEAD).alias("l"))
     defaults = {
         "business_name": F.lit(fixed.UNKNOWN_BUSINESS),
-        "lead_type": F.lit("travel_business"),
+        "lead_type": F.lit(fixed.MODEL_LEAD_TYPE),
         "confidence_score": F.lit(fixed.CONF_MODEL),
-        "extraction_method": F.lit("ai_extraction"),
+        "extraction_method": F.lit(fixed.MODEL_METHOD),
     }
     columns = [
         F.coalesce(F.col(f"l.{c}"), defaults[c]).alias(c) if c in defaults else F.col(f"l.{c}").alias(c)

@@ -41,9 +41,9 @@ def job_outcome(jobs: DataFrame, timeouts: Mapping[str, float] = fixed.JOB_TIMEO
     late = F.coalesce(F.col("duration") > limit, F.lit(False))
     seconds = limit.cast("int").cast("string")
     error = (
-        F.when(late, F.concat(F.lit("Job timed out after "), seconds, F.lit(" seconds")))
+        F.when(late, F.concat(F.lit(fixed.JOB_LATE[0]), seconds, F.lit(fixed.JOB_LATE[1])))
         .when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("result").isNull(), "No result or exception returned")
+        .when(F.col("result").isNull(), fixed.JOB_EMPTY)
     )
     return jobs.withColumn("error", error).withColumn(
         "status", F.when(F.col("error").isNotNull(), "failed").otherwise("completed")

@@ -6,34 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001
-SALTS = 64
 
 
 def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows.
+    """Keys that hold more than ``share`` of all rows, and over how many tasks each is to be spread.
 
     There can be at most ``1 / share`` of them, whatever the data: the result may be broadcast.
-    Counting reads the key column only and sends one partial count per key and task.
+    Counting needs the key column only and sends one partial count per key and task.
     """
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") > total * F.lit(share)).select(key, F.lit(True).alias("_hot"))
+    hot = counts.filter(F.col("_n") > total * F.lit(share))
+    return hot.select(key, F.ceil(F.col("_n") / (total * F.lit(share))).cast("int").alias("_salts"))
 
 
-def salted_join(
-    left: DataFrame, right: DataFrame, on: str, how: str = "inner", salts: int = SALTS, share: float = HOT_SHARE
-) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salts: int | None = None, share: float = HOT_SHARE) -> DataFrame:
     """Join a possibly skewed ``left`` with ``right``.
 
-    Left rows of a hot key are spread over ``salts`` tasks by a hash of the whole row, and the right
-    rows of that key are repeated once per salt; all other keys are joined as they are. A hash
-    gives the same salt when a task is retried, which a random number does not.
+    Left rows of a hot key are spread by a hash of the whole row over so many tasks that each gets about
+    ``share`` of all rows, and the right rows of that key are repeated once per task; all other keys are
+    joined as they are. All hot keys together are spread over ``2 / share`` tasks at most; ``salts`` sets
+    the number for each instead. A hash gives the same salt when a task is retried, which a random
+    number does not.
     """
-    hot = F.broadcast(hot_keys(left, on, share))
+    hot = hot_keys(left, on, share)
+    hot = F.broadcast(hot if salts is None else hot.withColumn("_salts", F.lit(salts)))
     # maps and variants have no hash
     hashed = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salt = F.coalesce(F.pmod(F.xxhash64(*hashed), F.col("_salts")).cast("int"), F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    spread = left.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return spread.join(repeated, [on, "_salt"], how).drop("_salt")

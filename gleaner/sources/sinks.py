@@ -70,8 +70,12 @@ class Tables:
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
     def append_new(self, table: str, rows: DataFrame) -> None:
-        """Add the rows whose id is not stored yet, each once, so a replay changes nothing."""
-        fresh = rows.dropDuplicates(["id"])
+        """Add the rows whose id is not stored yet, each once, so a replay changes nothing. Of rows with
+        one id the most confident, then the earliest is taken."""
+        rest = [c for c in rows.columns if c != "id"]
+        order = [-F.col(c) if c == "confidence_score" else F.col(c) for c in ("confidence_score", "created_at") if c in rest]
+        first = F.min_by(F.struct(*rest), F.struct(*order, F.to_json(F.struct(*rest))))
+        fresh = rows.groupBy("id").agg(first.alias("_row")).select("id", "_row.*").select(*rows.columns)
         if self.exists(table):
             fresh = fresh.join(self.read(table).select("id"), "id", "left_anti")
         self.append(table, fresh)
