@@ -298,27 +298,51 @@ def role_person(text: Column | str) -> Column:
     )
 
 
-def nearby_person(text: Column | str, contact: Column | str) -> Column:
-    """Name on the line of a contact, else in its paragraph, or NULL."""
-    text, contact = col(text), col(contact)
+def named_places(text: Column | str) -> Column:
+    """Lines with the name each holds, and paragraphs with theirs. It does not depend on a contact, so it
+    is computed once for a text."""
+    text = col(text)
     labelled = rf"({_PERSON})[:{WS}]"
-    lines = F.filter(F.split(text, "\n"), lambda line: line.contains(contact))
-    on_line = F.filter(F.transform(lines, lambda l: collapse(F.regexp_extract(l, labelled, 1))), lambda n: _is_name(n))
-    paragraphs = F.filter(F.split(text, "\n\n"), lambda p: p.contains(contact))
-    in_paragraph = F.filter(
-        F.transform(F.flatten(F.transform(paragraphs, lambda p: find_all(p, labelled, 1))), collapse),
-        lambda n: _is_name(n, ("information", "contact", "email", "phone")),
+    lines = F.transform(
+        F.split(text, "\n"),
+        lambda l: F.struct(l.alias("part"), collapse(F.regexp_extract(l, labelled, 1)).alias("name")),
+    )
+
+    def names(p: Column) -> Column:
+        return F.filter(
+            F.transform(find_all(p, labelled, 1), collapse),
+            lambda n: _is_name(n, ("information", "contact", "email", "phone")),
+        )
+
+    paragraphs = F.transform(
+        F.split(text, "\n\n"), lambda p: F.struct(p.alias("part"), first_of(names(p)).alias("name"))
     )
-    return F.coalesce(first_of(on_line), first_of(in_paragraph))
+    return F.struct(
+        F.filter(lines, lambda l: _is_name(l["name"])).alias("lines"),
+        F.filter(paragraphs, lambda p: p["name"].isNotNull()).alias("paragraphs"),
+    )
+
+
+def nearby_person(text: Column | str, contact: Column | str, places: Column | None = None) -> Column:
+    """Name on the line of a contact, else in its paragraph, or NULL. ``places`` takes a computed
+    :func:`named_places`."""
+    contact = col(contact)
+
+    def pick(found: Column) -> Column:
+        return F.coalesce(*[
+            first_of(F.filter(found[kind], lambda x: x["part"].contains(contact)))["name"] for kind in ("lines", "paragraphs")
+        ])
+
+    return pick(places) if places is not None else let(named_places(text), pick)
 
 
 def contact_person(
-    text: Column | str, contact: Column | str, by_role: Column | None = None
+    text: Column | str, contact: Column | str, by_role: Column | None = None, places: Column | None = None
 ) -> Column:
-    """Name of the person behind a contact. ``by_role`` takes a computed :func:`role_person`, which
-    does not depend on the contact."""
+    """Name of the person behind a contact. ``by_role`` takes a computed :func:`role_person` and ``places``
+    a computed :func:`named_places`, which do not depend on the contact."""
     by_role = role_person(text) if by_role is None else by_role
-    return F.coalesce(by_role, nearby_person(text, contact), F.lit(fixed.UNKNOWN_CONTACT))
+    return F.coalesce(by_role, nearby_person(text, contact, places), F.lit(fixed.UNKNOWN_CONTACT))
 
 
 # --- pairs ---------------------------------------------------------------------------------

@@ -53,10 +53,17 @@ def strip_chrome(html: Column | str) -> Column:
     return F.regexp_replace(col(html), CHROME, " ")
 
 
-def anchors(html: Column | str) -> Column:
-    """All links with text, in page order: array of (href, text)."""
+def anchors(html: Column | str, word: str | None = None) -> Column:
+    """All links with text, in page order: array of (href, text).
+
+    With ``word`` (in lower case) only those whose source may hold it: it is there as it is, or there are
+    character references. Tags inside a text part words, so they hide none.
+    """
+    found = find_all(html, ANCHOR)
+    if word:
+        found = F.filter(found, lambda a: F.lower(a).contains(word) | a.contains("&"))
     named = F.transform(
-        find_all(html, ANCHOR),
+        found,
         lambda a: F.struct(
             attribute(F.regexp_extract(a, ANCHOR_TAG, 1), "href").alias("href"),
             _element_text(F.regexp_extract(a, r"(?is)^[^>]*+>(.*?)(?:</a\s*+>)?\z", 1)).alias("text"),
@@ -206,7 +213,7 @@ def has_contact_form(html: Column | str) -> Column:
 
 def next_href(html: Column | str) -> Column:
     """Target of the first link whose text holds "Next"."""
-    return first_of(F.filter(anchors(html), lambda a: a["text"].contains("Next")))["href"]
+    return first_of(F.filter(anchors(html, "next"), lambda a: a["text"].contains("Next")))["href"]
 
 
 def sitemap_locations(xml: Column | str) -> Column:

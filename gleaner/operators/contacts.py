@@ -52,7 +52,7 @@ def extract_patterns(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 def contact_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Distinct (base_url, contact_url): links whose target or text holds "contact"."""
     links = F.filter(
-        H.anchors(html),
+        H.anchors(html, "contact"),
         lambda a: F.lower(a["href"]).contains("contact") | F.lower(a["text"]).contains("contact"),
     )
     targets = F.array_distinct(F.transform(links, lambda a: a["href"]))

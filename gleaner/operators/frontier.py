@@ -74,6 +74,11 @@ def _rule(line: Column) -> Column:
     )
 
 
+def _decoded(path: Column) -> Column:
+    """A path without percent escapes; one with broken escapes stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def parse_robots(robots: DataFrame) -> DataFrame:
     """Rule table (domain, agent, grp, seq, path, allow) from (domain, robots_txt)."""
     parsed = robots.select("domain", _robots_lines("robots_txt").alias("lines"))
@@ -107,15 +112,18 @@ def rules_for_agent(robots: DataFrame, agent: str = "*") -> DataFrame:
         )
         return let(
             F.struct(own.alias("g")),
-            lambda o: F.transform(F.filter(lines, lambda l: _is_rule(l) & (l["grp"] == o["g"])), _rule),
+            lambda o: F.transform(
+                F.filter(lines, lambda l: _is_rule(l) & (l["grp"] == o["g"])),
+                lambda l: _rule(l).withField("path", _decoded(l["value"])),
+            ),
         )
 
     return robots.select("domain", let(_robots_lines("robots_txt"), choose).alias("rules"))
 
 
 def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
-    """URLs with ``allowed``: the first rule whose path the URL starts with decides; no rule, no
-    robots file or an unknown domain allows.
+    """URLs with ``allowed``: the first rule whose path the URL starts with decides, both without percent
+    escapes; no rule, no robots file or an unknown domain allows.
 
     The rules of a domain travel as one array, so a URL meets one row, not one per rule, and no
     aggregation follows. One domain may hold a third of all URLs: hot domains are salted.
@@ -123,7 +131,7 @@ def robots_gate(urls: DataFrame, robots: DataFrame, agent: str = "*", url: str =
     keyed = urls.withColumn("domain", U.domain(url))
     joined = salted_join(keyed, rules_for_agent(robots, agent), "domain", "left")
     hit = let(
-        U.path_and_query(url),
+        _decoded(U.path_and_query(url)),
         lambda target: first_of(
             F.filter("rules", lambda r: (r["path"] == "*") | target.startswith(r["path"]))
         ),

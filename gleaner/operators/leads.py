@@ -112,11 +112,13 @@ def paired_leads(
         F.transform(rest_emails, lambda e: entry(e, _null(), fixed.CONF_EMAIL_ONLY)),
         F.transform(rest_phones, lambda p: entry(_null(), p, fixed.CONF_PHONE_ONLY)),
     )
-    # the name by role is the same for all contacts of a text, so it is computed outside the lambda
+    # names by role and the places of names are the same for all contacts of a text, so they are computed
+    # outside the lambda
     with_person = let(
-        C.role_person("_text"),
-        lambda role: F.transform(
-            entries, lambda e: e.withField("contact_person", C.contact_person("_text", e["contact"], role))
+        F.struct(C.role_person("_text").alias("role"), C.named_places("_text").alias("places")),
+        lambda known: F.transform(
+            entries,
+            lambda e: e.withField("contact_person", C.contact_person("_text", e["contact"], known["role"], known["places"])),
         ),
     )
     return (

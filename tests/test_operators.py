@@ -323,3 +323,12 @@ def test_lead_pages(spark):
     view = spark.range(10).select(F.col("id"), F.lit(0).alias("created_at"))
     assert [r["id"] for r in X.lead_page(view, 3, 2).collect()] == [2, 3, 4]
     assert X.lead_page(view, None, 4).count() == 6 and X.lead_page(view, 0).count() == 10
+
+
+def test_robots_paths_are_decoded(spark):
+    from gleaner.operators import frontier
+
+    robots = spark.createDataFrame([("a.org", "User-agent: *\nDisallow: /caf%C3%A9\nDisallow: /a+b\nDisallow: /50%")], "domain string, robots_txt string")
+    urls = spark.createDataFrame([(f"http://a.org{p}",) for p in ("/café/x", "/caf%c3%a9", "/cafe", "/a%2Bb", "/a b", "/50%off")], "url string")
+    got = {r["url"].removeprefix("http://a.org"): r["allowed"] for r in frontier.robots_gate(urls, robots).collect()}
+    assert got == {"/café/x": False, "/caf%c3%a9": False, "/cafe": True, "/a%2Bb": False, "/a b": True, "/50%off": False}
