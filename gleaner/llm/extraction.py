@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.quality import least_hashed
 from gleaner.llm.words import SPACED, find_words, text_slices
 
 SAMPLE_PAGES = 150
@@ -386,8 +387,8 @@ def _extract(model: Labeller):
 
 def sample_pages(pages: DataFrame, size: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
     """The training sample: chosen by id, then fetched."""
-    chosen = pages.filter(F.length("html").between(1, chars)).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).select("html").limit(size)
-    return [r["html"] for r in chosen.collect()]
+    fit = pages.filter(F.length("html").between(1, chars))
+    return [r["html"] for r in least_hashed(fit, size, pages.count(), "page_id", "url").select("html").collect()]
 
 
 def main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:

@@ -206,16 +206,30 @@ def _scored(model: Network | None, calibrated: Calibration | None, prior: float)
     return run
 
 
-def _sample(rows: DataFrame, size: int) -> np.ndarray:
-    """Measures of the ``size`` rows with the least hash of their id."""
-    taken = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "measures").limit(size).select("measures").collect()
-    return np.array([r["measures"] for r in taken], dtype=float).reshape(len(taken), len(FEATURES))
+def least_hashed(rows: DataFrame, size: int, total: int, *key: str) -> DataFrame:
+    """About the ``size`` rows of ``total`` with the least hash of their key, in that order.
+
+    Only rows under twice the share that is needed are sorted, so what tasks send does not grow with
+    their number.
+    """
+    share = 2 * size / max(total, 1)
+    if share < 1:
+        rows = rows.filter(F.xxhash64(*key) < F.lit(int(-(2**63) + share * 2**64)))
+    return rows.orderBy(F.xxhash64(*key), *key).limit(size)
+
+
+def _sample(rows: DataFrame, size: int, total: int) -> np.ndarray:
+    """Measures of the sampled rows."""
+    taken = least_hashed(rows, size, total, "doc_id").select("doc_id", "measures").collect()
+    taken = sorted((r["doc_id"], r["measures"]) for r in taken)
+    return np.array([m for _, m in taken], dtype=float).reshape(len(taken), len(FEATURES))
 
 
 def fit(measured: DataFrame, good: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[Network | None, Calibration | None, float]:
     """The network, its calibration and the prior, from measured texts and the ``doc_id`` of trusted good ones."""
-    trusted = measured.join(good.select("doc_id").distinct(), "doc_id", "semi")
-    p, u = _sample(trusted, positives), _sample(measured.filter("doc_id IS NOT NULL"), unlabelled)
+    good = good.select("doc_id").distinct()
+    trusted = measured.join(good, "doc_id", "semi")
+    p, u = _sample(trusted, positives, good.count()), _sample(measured.filter("doc_id IS NOT NULL"), unlabelled, measured.count())
     if len(p) < 2 or not len(u):
         return None, None, 0.5
     prior = estimate_prior(p, u)
