@@ -7,7 +7,7 @@ gives ``side * side`` table keys of ``2 * rows`` minima each, for ``2 * side * r
 
 A pair of similarity s shares a key with probability ``(1 - (1 - s**rows)**side)**2``: 0.99991 at s = 0.8,
 0.99998 at 0.85 with the defaults. No group is cut. First every text is held against the best connected text
-it shares a bucket with, which joins most copies and gathers families of half-similar texts. Then texts of
+it shares a bucket with, which joins most copies and gathers families of loosely similar texts. Then texts of
 one family that lie in different components are compared block by block, and candidates in two families
 pair by pair. So each candidate pair is either joined already or looked at, and copies are never expanded
 into all pairs.
@@ -34,7 +34,7 @@ ROWS = 3
 SIDE = 14
 SEED = 20240229
 #: texts at least so many percent like the best connected text they meet are held against their whole family
-NEAR = 50
+NEAR = 25
 #: shingles of a block of texts that a task holds against another block
 BLOCK = 400_000
 
