@@ -10,6 +10,7 @@ spelling in a text, so references stay together; name parts are replaced one by
 Collisions are checked over the distinct entities of the corpus: where two would get the same replacement, or
 one the original of another, all but the least entity draw again until none is left. Only entities that
 drew again are handed to the texts, through a join on the hash of the text; all others are computed in place.
+Replacements get longer with the attempts, so that one is left however many values of a format occur.
 
 Defined cases: a null text stays null, an empty one empty; texts without entities are unchanged; repeated rows
 change alike; other columns are carried along.
@@ -74,6 +75,8 @@ _PATTERN = re.compile(
 _HINT = re.compile(rf"[0-9@:=]|(?<![\w])(?:{_TITLE})\.?[ ]")
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _DIGITS = {"card", "phone", "ssn", "ip"}
+#: what values without letters and digits are drawn from; all may stand in a token or a password
+_SYMBOLS = "+-./=_"
 
 
 def _script(word: str) -> str:
@@ -151,7 +154,9 @@ def _stream(key: str, kind: str, value: str, attempt: int) -> Callable[[int], in
 
 
 def _shaped(value: str, draw: Callable[[int], int], lower: str = "abcdefghijklmnopqrstuvwxyz") -> str:
-    """Characters of the same class in every place."""
+    """Characters of the same class in every place; without letters and digits, other symbols."""
+    if not any(c.isdigit() or c.isalpha() for c in value):
+        return "".join(_SYMBOLS[draw(len(_SYMBOLS))] for _ in value)
     out = []
     for c in value:
         if c.isdigit():
@@ -164,6 +169,12 @@ def _shaped(value: str, draw: Callable[[int], int], lower: str = "abcdefghijklmn
     return "".join(out)
 
 
+def _longer(value: str, attempt: int) -> str:
+    """The value with its last letter or digit repeated at the end, once for every second attempt."""
+    last = next((c for c in reversed(value) if c.isdigit() or c.isalpha()), "*")
+    return value + last * (attempt // 2)
+
+
 def _luhn(digits: str) -> int:
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10
 
@@ -173,14 +184,20 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
     draw = _stream(key, kind, value, attempt)
     if kind == "email":
         local, _, domain = value.rpartition("@")
+        local = _longer(local, attempt)
         labels = domain.split(".")
         inner = _stream(key, "domain", domain, attempt // 4)  # a domain keeps its replacement as long as it can
         return f"{_shaped(local, draw)}@{'.'.join([*(_shaped(x, inner) for x in labels[:-1]), labels[-1]])}"
     if kind == "ip":
-        return ".".join(str(1 + draw(254)) for _ in range(4))
+        if attempt < 16:
+            return ".".join(str(1 + draw(254)) for _ in range(4))
+        return ":".join(f"{draw(1 << 16):x}" for _ in range(8))
+    valid = kind == "card" and _luhn(value) == 0
+    if kind in ("phone", "ssn", "card", "iban", "access", "hex", "token", "password"):
+        value = _longer(value, attempt)
     if kind == "card":
         body = value[0] + _shaped(value[1:-1], draw)
-        if _luhn(value) == 0:
+        if valid:
             return body + str((10 - _luhn(body + "0")) % 10)
         return body + str(draw(10))
     if kind in ("phone", "ssn"):
@@ -205,10 +222,10 @@ def rendered(kind: str, original: str, new: str) -> str:
     """The replacement in the spelling of the original."""
     if kind in ("phone", "ssn", "card"):
         digits = iter(new.replace("|", "").replace("+", ""))
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
     if kind == "iban":
         rest = iter(new)
-        return "".join(c if c == " " else next(rest) for c in original)
+        return "".join(c if c == " " else next(rest) for c in original) + "".join(rest)
     if kind == "email" and len(new) == len(original):
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new))
     if kind == "surname" or kind.startswith("given"):

@@ -423,6 +423,23 @@ def test_surrogates_stay_distinct(spark):
     assert again and max(new.values()) == 1 and not set(new) & {(r["kind"], r["value"]) for r in values.collect()}
 
 
+def test_surrogates_for_masks_and_used_up_formats(spark):
+    used = [("password", c) for c in "0123456789"] + [("password", c) for c in "abcdefghijklmnopqrstuvwxyz"] + [("password", c) for c in "+-./=_?"]
+    values = used + [("password", "****"), ("password", "..."), ("token", "--------"), ("email", "_@½.com"), ("phone", "+1|55555")]
+    attempts = dict.fromkeys(values, 0)
+    for _ in range(40):  # as redrawn does, but sure to end
+        new = {v: pii.surrogate(*v, attempts[v], pii.KEY) for v in values}
+        seen = Counter((k, n) for (k, _), n in new.items())
+        again = [v for v in values if seen[v[0], new[v]] > 1 or (v[0], new[v]) in attempts]
+        for v in again:
+            attempts[v] += 1
+    assert not again
+    texts = [f"password: {v}" for k, v in used] + ["password: ****", "password=...", "token: --------"]
+    got = [r["text"] for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert pii.rendered("phone", "+1 55-555", "+1|234567") == "+1 23-4567" and pii.rendered("iban", "DE12 3", "DE9876") == "DE98 76"
+
+
 def test_redrawn_values_reach_the_texts(spark):
     rows = [(i, f"Mr Name{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]} Smith wrote") for i in range(900)]
     got = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
