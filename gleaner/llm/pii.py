@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import fixed
 from gleaner.llm.words import text_slices
 from gleaner.session import materialize
 
@@ -52,27 +54,36 @@ ENDINGS = {
 
 _ENDS = r"(?![\w])"
 _NAME = r"(?![a-zß-öø-ÿά-ώа-я])[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_IS = r"""["']?[ \t]{0,8}[:=][ \t]{0,8}["']?"""
+_IP4 = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}"
+_HEX4 = r"[0-9a-fA-F]{1,4}"
 _TITLE = "|".join(sorted((re.escape(t) for g in TITLES.values() for t in g), key=len, reverse=True))
 _PATTERN = re.compile(
     rf"""
     (?P<email>(?<![\w.%+-])[\w%+-][\w.%+-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)
-    |(?<![\w])(?:password|passwd|pwd)["']?[ ]?[:=][ ]?["']?(?P<password>[^\s"',;]+)
-    |(?<![\w])(?:token|secret|api_?key|access_?key)["']?[ ]?[:=][ ]?["']?(?P<token>[\w+/=.-]{{8,}})
+    |(?:(?<![^\W_])(?i:password|passwd|pwd)|(?<=[a-z0-9])(?:Password|Passwd|Pwd)){_IS}(?P<password>[^\s"',;]+)
+    |(?:(?<![^\W_])(?i:token|secret(?:[_-]?key)?|api[_-]?key|access[_-]?key)|(?<=[a-z0-9])(?:Token|Secret(?:Key)?|ApiKey|AccessKey)){_IS}(?P<token>[\w+/=.-]{{8,}})
     |(?<![\w])(?P<access>(?:AKIA|ASIA)[0-9A-Z]{{16}}){_ENDS}
-    |(?<![\w])(?P<hex>(?=[a-f]*[0-9])[0-9a-f]{{32,}}){_ENDS}
-    |(?<![\w.])(?P<ip>(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}})(?!\.?\w)
+    |(?<![\w])(?P<hex>(?=[a-fA-F]*[0-9])[0-9a-fA-F]{{32,}}){_ENDS}
+    |(?<![\w.])(?P<ip>{_IP4})(?!\.?\w)
+    |(?<![\w:.])(?=[a-fA-F:]*[0-9])(?P<ipv>(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{6}}{_IP4}
+      |(?:{_HEX4}(?::{_HEX4}){{0,6}})?::(?:(?:{_HEX4}:){{0,5}}{_IP4}|{_HEX4}(?::{_HEX4}){{0,6}})?)(?![\w:]|\.\w)
     |(?<![\w])(?P<iban>[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?){_ENDS}
     |(?<![\w.-])(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?![\w-])
     |(?<![\w.-])(?P<card>\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-])
-    |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}{_ENDS}
+    |(?P<phone>(?:(?<![\w+])\+\d{{1,3}}|(?<![\w+.-])00[1-9]\d{{0,2}})[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}{_ENDS}
       |(?<![\w.(-])\(\d{{3}}\)[ ]?\d{{3}}[ .-]\d{{4}}(?![\w-])
-      |(?<![\w.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\w.-]))
+      |(?<![\w.-])\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?![\w-]|\.\w)
+      |(?<![\w.-])1[ .-](?:\(\d{{3}}\)[ ]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?![\w-]|\.\w)
+      |(?<![\w.-])0\d(?:[ .-]\d{{2}}){{4}}(?![\w-]|\.\w)
+      |(?<![\w.-])0\d{{2,4}}[ ]\d{{3,4}}[ ]\d{{3,4}}(?![\w-]|\.\w))
     |(?<![\w])(?P<title>{_TITLE})\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,3}})
     """,
     re.VERBOSE,
 )
 #: what every entity has: without any of these a text is left alone
 _HINT = re.compile(rf"[0-9@:=]|(?<![\w])(?:{_TITLE})\.?[ ]")
+_CODE = re.compile(rf"[17]|{fixed.CALLING_CODES.removeprefix('^')}|\d{{1,3}}")
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _DIGITS = {"card", "phone", "ssn", "ip"}
 #: what values without letters and digits are drawn from; all may stand in a token or a password
@@ -128,11 +139,21 @@ def canonical(kind: str, value: str) -> str:
     """One spelling for all spellings of an entity."""
     if kind == "ip":
         return value
+    if kind == "ipv":
+        try:
+            return ipaddress.IPv6Address(value).compressed
+        except ValueError:  # groups beyond eight
+            return value.lower()
     if kind in _DIGITS:
-        # a leading + and the country code stay apart from the number
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+        # the calling code after + or 00 stays apart from the number
         digits = re.sub(r"\D", "", value)
-        return f"+{code[0][1:]}|{digits[len(code[0]) - 1:]}" if code else digits
+        if kind == "phone" and (value.startswith("+") or value.startswith("00")):
+            digits = digits if value.startswith("+") else digits[2:]
+            code = _CODE.match(digits)[0]
+            return f"+{code}|{digits[len(code):]}"
+        return digits
+    if kind == "hex":
+        return value.lower()
     if kind == "iban":
         return value.replace(" ", "")
     return value.casefold() if kind in ("email", "surname") or kind.startswith("given") else value
@@ -191,7 +212,8 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
     if kind == "ip":
         if attempt < 16:
             return ".".join(str(1 + draw(254)) for _ in range(4))
-        return ":".join(f"{draw(1 << 16):x}" for _ in range(8))
+    if kind in ("ip", "ipv"):
+        return ipaddress.IPv6Address(b"".join(draw(1 << 16).to_bytes(2, "big") for _ in range(8))).compressed
     valid = kind == "card" and _luhn(value) == 0
     if kind in ("phone", "ssn", "card", "iban", "access", "hex", "token", "password"):
         value = _longer(value, attempt)
@@ -221,11 +243,14 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
 def rendered(kind: str, original: str, new: str) -> str:
     """The replacement in the spelling of the original."""
     if kind in ("phone", "ssn", "card"):
-        digits = iter(new.replace("|", "").replace("+", ""))
+        zeros = "00" if kind == "phone" and new.startswith("+") and not original.startswith("+") else ""
+        digits = iter(zeros + new.replace("|", "").replace("+", ""))
         return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
     if kind == "iban":
         rest = iter(new)
         return "".join(c if c == " " else next(rest) for c in original) + "".join(rest)
+    if kind == "hex":
+        return new.upper() if original.isupper() else new
     if kind == "email" and len(new) == len(original):
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new))
     if kind == "surname" or kind.startswith("given"):

@@ -404,6 +404,27 @@ def test_surrogates_keep_kind_and_format():
     assert pii.replace_entities(new, "other")[0] != new and pii.replace_entities(text)[0] == new
 
 
+def test_spellings_of_secrets_and_numbers():
+    secrets = ["Password: hunter2", "PASSWORD=hunter2", "db_password='hunter2'", "dbPassword=hunter2", '"MYSQL_PWD" : hunter2', "--password=hunter2",
+               "Token: abcd1234efgh", "API_KEY=abcd1234efgh", "api-key: abcd1234efgh", "auth_token=abcd1234efgh", "accessToken=abcd1234efgh",
+               "client_secret=abcd1234efgh", "aws_secret_access_key=abcd1234efgh", "secret-key: abcd1234efgh", "0123456789ABCDEF" * 2]
+    for text in secrets:
+        new, kinds = pii.replace_entities(f"see {text} there")
+        assert len(kinds) == 1 and "hunter2" not in new and "abcd1234" not in new and "0123456789ABCDEF" not in new, text
+    for number in ["555 123 4567", "1 555 123 4567", "1-800-555-1234", "0049 30 1234567", "06 12 34 56 78", "020 7946 0958", "555-123-4567."]:
+        new, kinds = pii.replace_entities(f"call {number} now")
+        assert kinds == ["phone"] and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {number} now") and number not in new, number
+    for address in ["2001:db8::1", "2001:0db8:0:0:0:0:0:1", "fe80::1ff:fe23:4567:890a", "::ffff:192.0.2.1", "::1"]:
+        assert pii.replace_entities(f"from {address}, at 12:30:45")[1] == ["ipv"], address
+    same = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "001 555 123 4567"]
+    assert {pii.canonical("phone", x) for x in same} == {"+1|5551234567"}
+    assert len({re.sub(r"\D", "", pii.replace_entities(x)[0]).removeprefix("00") for x in same}) == 1
+    assert pii.canonical("phone", "+351212345678") == pii.canonical("phone", "+351 212 345 678") and pii.canonical("phone", "+442079460958") == "+44|2079460958"
+    assert pii.canonical("ipv", "2001:0db8:0:0:0:0:0:1") == pii.canonical("ipv", "2001:DB8::1") and pii.canonical("hex", "AB1" * 11) == "ab1" * 11
+    clean = ["std::vector a::b at 12:30:45", "tokens: many thousands", "on 01.02.2024 or 01-02-2024", "passwords = several", "the secretary: somebody"]
+    assert [pii.replace_entities(t)[0] for t in clean] == clean
+
+
 def test_names_keep_gender_script_and_reference():
     new, _ = pii.replace_entities("Mrs Ada Lane met Mr. John O'Neil. Lane spoke. госпожа Анна Петрова. Mr JOHN went")
     given, family, john, neil = re.match(r"Mrs (\w+) (\w+) met Mr\. (\w+) (\w+)\. \2 spoke\.", new).groups()
