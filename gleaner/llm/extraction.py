@@ -20,7 +20,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -62,39 +63,102 @@ _PLAIN_WORD = re.compile(r"[a-z]+")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """Text with what its vector and the teachers take from the whole path of open tags."""
+
+    slots: bytes  # hashed tokens of the path, each once
+    depth: int  # tokens of the path
     text: str
     linked: int = 0
+    taught: bool | None = None  # in an article and in none of its surroundings; None outside of articles
+    kept: tuple[str, ...] = ()  # tokens of the path that variants keep, each once
+    repeated: int = 0  # and how many more there are
 
 
 @dataclass
 class _Open:
     tag: str
-    tokens: tuple[str, ...] = field(default=())
+    tokens: tuple[str, ...]
+    around: int = 0  # tokens of surroundings that count within the outermost article
+
+
+@lru_cache(maxsize=1 << 16)
+def _slot(token: str) -> int:
+    return zlib.crc32(token.encode()) % PATH_DIM
+
+
+def _block(path: tuple[str, ...], text: str, linked: int = 0, repeated: int = 0) -> Block:
+    return Block(bytes({_slot(t) for t in path}), len(path) + repeated, text, linked)
+
+
+class _Path:
+    """The open tags, and running counts over their tokens: a block costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Open] = []
+        self.outer: list[int] = []  # places in the stack of tags that are not inline
+        self.held: dict[str, int] = {}
+        self.slots: dict[int, int] = {}
+        self.kept: dict[str, int] = {}
+        self.depth = self.around = 0
+        self.article: int | None = None  # place of the outermost article
+
+    def push(self, tag: str, tokens: tuple[str, ...]) -> None:
+        inner = tokens
+        if self.article is None:
+            first = next((i for i, t in enumerate(tokens) if t in ARTICLE), None)
+            inner = () if first is None else tokens[first:]
+            self.article = None if first is None else len(self.stack)
+        around = sum(t in _AROUND_TOKENS for t in inner)
+        if tag not in _INLINE:
+            self.outer.append(len(self.stack))
+        self.stack.append(_Open(tag, tokens, around))
+        self.held[tag] = self.held.get(tag, 0) + 1
+        self.depth += len(tokens)
+        self.around += around
+        for token in tokens:
+            self.slots[_slot(token)] = self.slots.get(_slot(token), 0) + 1
+            if token in _KEPT:
+                self.kept[token] = self.kept.get(token, 0) + 1
+
+    def pop(self) -> None:
+        top = self.stack.pop()
+        self.held[top.tag] -= 1
+        if top.tag not in _INLINE:
+            self.outer.pop()
+        self.depth -= len(top.tokens)
+        self.around -= top.around
+        if self.article == len(self.stack):
+            self.article = None
+        for token in top.tokens:
+            for counts, key in ((self.slots, _slot(token)), (self.kept, token)):
+                if key in counts:
+                    counts[key] -= 1
+                    if not counts[key]:
+                        del counts[key]
+
+    def block(self) -> Block:
+        taught = None if self.article is None else not self.around
+        return Block(bytes(self.slots), self.depth, "", 0, taught, tuple(self.kept), sum(self.kept.values()) - len(self.kept))
 
 
 def page_blocks(html: str) -> list[Block]:
     """The leaf blocks of a page with text, in order."""
     blocks: list[Block] = []
-    stack: list[_Open] = []
-    outer: list[int] = []  # places in the stack of tags that are not inline
-    held: dict[str, int] = {}
+    path = _Path()
+    stack, outer, held, pop = path.stack, path.outer, path.held, path.pop
     parts: list[str] = []
-    state = {"path": (), "linked": 0}
+    begun: list[Block] = []  # the block of the open parts
+    linked = 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(state["path"], text, state["linked"]))
+                block = begun.pop()
+                block.text, block.linked = text, linked
+                blocks.append(block)
             parts.clear()
-        state["linked"] = 0
-
-    def pop() -> None:
-        tag = stack.pop().tag
-        held[tag] -= 1
-        if tag not in _INLINE:
-            outer.pop()
+            begun.clear()
 
     at = 0
     while at < len(html):
@@ -104,11 +168,12 @@ def page_blocks(html: str) -> list[Block]:
             if not parts:
                 if match["text"].isspace():
                     continue
-                state["path"] = tuple(t for x in (stack if len(stack) <= 10 else stack[:4] + stack[-6:]) for t in x.tokens)
+                begun.append(path.block())
+                linked = 0
             piece = unescape(match["text"])
             parts.append(piece)
             if held.get("a"):
-                state["linked"] += len(piece)
+                linked += len(piece)
             continue
         if not match["tag"]:
             continue
@@ -136,10 +201,7 @@ def page_blocks(html: str) -> list[Block]:
             tokens = [tag]
             for name, *values in _ATTRIBUTE.findall(match["rest"]):
                 tokens += [f"{name.lower()}:{w}" for w in _PLAIN_WORD.findall(" ".join(values).lower())]
-            if tag not in _INLINE:
-                outer.append(len(stack))
-            stack.append(_Open(tag, tuple(tokens)))
-            held[tag] = held.get(tag, 0) + 1
+            path.push(tag, tuple(tokens))
     flush()
     return blocks
 
@@ -149,10 +211,9 @@ def block_vectors(blocks: list[Block]) -> np.ndarray:
     if not blocks:
         return out
     for i, block in enumerate(blocks):
-        for token in block.path:
-            out[i, zlib.crc32(token.encode()) % PATH_DIM] = 1
+        out[i, np.frombuffer(block.slots, np.uint8)] = 1
         n = len(block.text)
-        out[i, -6:] = (np.log1p(n) / 8, block.linked / max(n, 1), block.text[-1] in ".!?:;\"'", block.text[0].isupper(), len(block.path) / 8, 1)
+        out[i, -6:] = (np.log1p(n) / 8, block.linked / max(n, 1), block.text[-1] in ".!?:;\"'", block.text[0].isupper(), np.log1p(block.depth) / 2.5, 1)
     words = find_words(pa.array([b.text for b in blocks], pa.large_string()), SPACED)
     slot = words.doc * WORD_DIM + (words.hash % np.uint64(WORD_DIM)).astype(np.int64)
     counts = np.bincount(slot, minlength=len(blocks) * WORD_DIM).reshape(len(blocks), WORD_DIM)
@@ -292,15 +353,16 @@ AROUND = {
     "form": [["form"], ["form", "class:search"], ["form", "class:newsletter"], ["form", "id:login"]],
     "comments": [["section", "class:comments"], ["div", "class:comments"], ["div", "id:comments"], ["div", "class:comment"], ["section", "id:comments"], ["ol", "class:comment", "class:list"], ["div", "class:discussion"]],
 }
+#: tags of an article that its variants keep
+_KEPT = {"p", "h1", "h2", "h3", "ul", "li", "b", "blockquote"}
 _AROUND_TOKENS = {t for options in AROUND.values() for o in options for t in o} - {"div", "ul", "section", "ol"}
 
 
 def _taught(blocks: list[Block]) -> list[bool] | None:
     """Labels of a page that marks its article by a tag, else None."""
-    inside = [any(t in ARTICLE for t in b.path) for b in blocks]
-    if not any(inside):
+    if all(b.taught is None for b in blocks):
         return None
-    return [i and not any(t in _AROUND_TOKENS for t in b.path[[t in ARTICLE for t in b.path].index(True) :]) for i, b in zip(inside, blocks)]
+    return [bool(b.taught) for b in blocks]
 
 
 def _varied(blocks: list[Block], labels: list[bool], spare: list[str], draw: np.random.Generator) -> tuple[list[Block], list[bool]]:
@@ -317,16 +379,16 @@ def _varied(blocks: list[Block], labels: list[bool], spare: list[str], draw: np.
             if kind in ("menu", "form", "notice") or draw.random() < 0.3:
                 text = " ".join(text.split()[: int(draw.integers(1, 8))])
             linked = len(text) if kind == "menu" or draw.random() < 0.15 else 0
-            out.append((Block((*base, *around[kind], *inner), text, linked), False))
+            out.append((_block((*base, *around[kind], *inner), text, linked), False))
         return out
 
     body = ("html", "body")
     heading = pick(["h1", "h1", "h2", "h3"])
-    article = [(Block((*body, *name, *(heading if t == "h1" else t for t in b.path if t in ("p", "h1", "h2", "h3", "ul", "li", "b", "blockquote"))), b.text, b.linked), True) for b, y in zip(blocks, labels) if y]
+    article = [(_block((*body, *name, *(heading if t == "h1" else t for t in b.kept)), b.text, b.linked, b.repeated), True) for b, y in zip(blocks, labels) if y]
     if draw.random() < 0.3:  # further kinds of blocks in the article
         k = int(draw.integers(0, len(article)))
         extra = pick([("ul", "li"), ("h2",), ("blockquote", "p"), ("table", "tr", "td"), ("pre",), ("figure", "figcaption")])
-        article[k:k] = [(Block((*body, *name, *extra), pick(spare), 0), True) for _ in range(int(draw.integers(1, 5)))]
+        article[k:k] = [(_block((*body, *name, *extra), pick(spare), 0), True) for _ in range(int(draw.integers(1, 5)))]
     for kind in ("comments", "form", "advert", "sidebar", "notice"):
         if draw.random() < (0.5 if kind == "comments" else 0.35):
             k = len(article) if kind in ("comments", "form") else int(draw.integers(0, len(article) + 1))
@@ -357,7 +419,7 @@ def train(pages: list[str], variants: int = 4) -> Labeller:
     spare = [b.text for blocks, _ in taught for b in blocks] + invented
     for _ in range(30):
         n = int(draw.integers(1, 12))
-        taught.append(([Block(("html", "body", "article", "p"), invented[int(draw.integers(0, 200))]) for _ in range(n)], [True] * n))
+        taught.append(([_block(("html", "body", "article", "p"), invented[int(draw.integers(0, 200))]) for _ in range(n)], [True] * n))
     examples = [(block_vectors(b), np.array(y, dtype=float)) for b, y in taught]
     for blocks, labels in taught:
         for _ in range(variants):

@@ -333,6 +333,18 @@ def test_blocks_of_a_page():
         extraction.page_blocks(hostile)
 
 
+def test_marks_of_deep_pages():
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    html = deep(6, "<article class=post>" + deep(8, "<p>Text.</p>") + "<aside id=side>" + deep(8, "<p>Other.</p>") + "</aside></article>" + deep(9, "<p>After.</p>"))
+    blocks = extraction.page_blocks(html)
+    assert extraction._taught(blocks) == [True, False, False]
+    marks = [{t for t in ("article", "class:post", "aside", "id:side") if extraction._slot(t) in b.slots} for b in blocks]
+    assert marks == [{"article", "class:post"}, {"article", "class:post", "aside", "id:side"}, set()]
+    assert [b.depth for b in blocks] == [6 + 2 + 8 + 1, 6 + 2 + 2 + 8 + 1, 6 + 9 + 1]
+    vectors = extraction.block_vectors(blocks)
+    assert [vectors[i, extraction._slot("article")] for i in range(3)] == [1, 1, 0]
+
+
 def test_main_text(spark, labeller):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (1, "u", PAGE), (None, "u", "<nav>only menu</nav>")]
     got = extraction.main_text(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string"), labeller).collect()
