@@ -79,17 +79,17 @@ def page_signals(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
 
 def first_by_canonical(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One page per canonical URL: the one whose own URL comes first.
+    """One page per canonical URL: the one whose own URL comes first, pages without a URL last.
 
-    The choice is a minimum over two narrow columns, combined on the map side, so a canonical URL
-    shared by very many copies costs one row per task; the pages themselves are only filtered by their
-    own URL. A URL stored more than once keeps its version of least hash; identical rows stay.
+    The choice is one minimum combined on the map side, so a canonical URL shared by very many copies
+    costs one row per task. A URL stored more than once keeps its version of least hash, rows that repeat
+    stay once. Pages with neither a URL nor a canonical link are one group.
     """
-    keyed = pages.withColumns({"canonical_url": H.canonical_url(html, url), "_version": F.xxhash64(html)})
-    best = keyed.select("canonical_url", url, "_version").groupBy("canonical_url").agg(F.min(F.struct(url, "_version")).alias("_b"))
-    chosen = best.select("canonical_url", F.col(f"_b.{url}").alias(url), "_b._version")
-    kept = keyed.join(chosen, ["canonical_url", url, "_version"], "semi")
-    return kept.select(*pages.columns, "canonical_url")
+    hashed = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in pages.schema]
+    order = F.struct(F.col(url).isNull().alias("none"), F.col(url).alias("url"), F.xxhash64(html).alias("version"), F.xxhash64(*hashed).alias("row"))
+    keyed = pages.select(H.canonical_url(html, url).alias("canonical_url"), F.struct(*[f"`{c}`" for c in pages.columns]).alias("_page"), order.alias("_order"))
+    best = keyed.groupBy("canonical_url").agg(F.min_by("_page", "_order").alias("_page"))
+    return best.select(*[F.col(f"_page.`{c}`").alias(c) for c in pages.columns], "canonical_url")
 
 
 class _MainText(HTMLParser):

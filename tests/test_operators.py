@@ -332,3 +332,18 @@ def test_robots_paths_are_decoded(spark):
     urls = spark.createDataFrame([(f"http://a.org{p}",) for p in ("/café/x", "/caf%c3%a9", "/cafe", "/a%2Bb", "/a b", "/50%off")], "url string")
     got = {r["url"].removeprefix("http://a.org"): r["allowed"] for r in frontier.robots_gate(urls, robots).collect()}
     assert got == {"/café/x": False, "/caf%c3%a9": False, "/cafe": True, "/a%2Bb": False, "/a b": True, "/50%off": False}
+
+
+def test_one_page_by_canonical_with_null_urls_and_repeats(spark):
+    link = "<link rel=canonical href=http://c/1>"
+    rows = [
+        (1, "http://b", link, {"a": "x"}), (2, None, link, {"a": "x"}), (3, "http://a", link, None), (3, "http://a", link, None),  # a url comes before none
+        (4, None, "<link rel=canonical href=http://c/2>", None), (4, None, "<link rel=canonical href=http://c/2>", None),  # none has a url
+        (5, None, "<p>one", {"b": "y", "c": "z"}), (6, None, None, None),  # neither url nor link
+        (7, "http://d", "<p>same", {"b": "y"}), (8, "http://d", "<p>same", {"b": "y"}),  # differ elsewhere only
+    ]
+    got = P.first_by_canonical(spark.createDataFrame(rows, "page_id int, url string, html string, headers map<string,string>"))
+    assert got.columns == ["page_id", "url", "html", "headers", "canonical_url"]
+    found = sorted(((r["canonical_url"] or "", r["url"], r["page_id"]) for r in got.collect()))
+    assert [f[:2] for f in found] == [("", None), ("http://c/1", "http://a"), ("http://c/2", None), ("http://d", "http://d")]
+    assert found[0][2] in (5, 6) and [f[2] for f in found[1:3]] == [3, 4] and found[3][2] in (7, 8)
