@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.chat import formatted
+from gleaner.llm.cuckoo import exact_duplicates
 from gleaner.llm.decontam import contamination
 from gleaner.llm.dedup import near_duplicates
 from gleaner.llm.extraction import main_text
@@ -75,6 +76,10 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_prefix_tree": op2_prefix_tree,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_positive_unlabelled": op8_positive_unlabelled,
     "op9_surrogates": op9_surrogates,
     "op10_weak_supervision": op10_weak_supervision,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,4 +132,7 @@ ORACLES: dict[str, str] = {
         found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) f GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
             coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN marked USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_exact_dedup": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS x FROM documents),
+        k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY x ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, x AS text_sha256 FROM k""",
 }
