@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm.chat import formatted
 from gleaner.llm.cuckoo import exact_duplicates
@@ -16,9 +17,11 @@ from gleaner.llm.decontam import contamination
 from gleaner.llm.dedup import near_duplicates
 from gleaner.llm.extraction import main_text
 from gleaner.llm.licenses import license_scan
+from gleaner.llm.negatives import hard_negatives, prepared
 from gleaner.llm.packing import pack
 from gleaner.llm.pii import surrogates
 from gleaner.llm.quality import quality_scores
+from gleaner.llm.repair import damaged, repair_report
 from gleaner.llm.rules import judged
 from gleaner.llm.warc import captures
 
@@ -80,6 +83,15 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    return repair_report(table, damaged(table))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(prepared(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_prefix_tree": op2_prefix_tree,
@@ -92,6 +104,8 @@ QUERIES: dict[str, Query] = {
     "op9_surrogates": op9_surrogates,
     "op10_weak_supervision": op10_weak_supervision,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,4 +149,13 @@ ORACLES: dict[str, str] = {
     "op11_exact_dedup": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS x FROM documents),
         k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY x ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, x AS text_sha256 FROM k""",
+    "op13_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER w AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)""",
 }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     result = con.execute(ORACLES[name])
@@ -23,7 +23,6 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
 def test_query_returns_every_row(spark, name):
     df = QUERIES[name](spark, SF)
-    table = "pages" if name.startswith("op7") else "documents"
-    key = "page_id" if table == "pages" else "doc_id"
-    assert df.select(key).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    table, key = {"op7": ("pages", "page_id"), "op12": ("conversations", "conv_id")}.get(name.split("_")[0], ("documents", "doc_id"))
+    assert df.select(key).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct().count()
     assert all("<" not in f.dataType.simpleString() for f in df.schema)
