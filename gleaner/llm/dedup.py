@@ -6,11 +6,12 @@ gives ``side * side`` table keys of ``2 * rows`` minima each, for ``2 * side * r
 ``2 * rows * side ** 2``. Texts that share a key are candidates and are confirmed on full sets.
 
 A pair of similarity s shares a key with probability ``(1 - (1 - s**rows)**side)**2``: 0.99991 at s = 0.8,
-0.99998 at 0.85 with the defaults. No group is cut. First every text is held against the best connected text
-it shares a bucket with, which joins most copies and gathers families of loosely similar texts. Then texts of
-one family that lie in different components are compared block by block, and candidates in two families
-pair by pair where they share more than a stray bucket. So each candidate pair is either joined already or looked at, and copies are never expanded
-into all pairs.
+0.99998 at 0.85 with the defaults (``rows`` is 3 there, 1 at 0.5, where it is 0.9999 too). No group is cut and no candidate dropped. First every text is held against the
+best connected text it shares a bucket with, which joins most copies. A bucket whose texts are one component then
+has nothing left to find; texts of other buckets are contested. Contested texts of different components are
+joined exactly: of two sets that are similar enough, the least shingle they have in common, in one order for all,
+is among the first ``n - ceil(percent * n / 100) + 1`` of each. Rare shingles come first, counted in a sketch of fixed
+size, so a phrase of very many texts is no key. Copies are never expanded into all pairs, and buckets never paired.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; texts with equal
 sets are one class from the start; rows that repeat a doc_id are one document; a row without doc_id is never
@@ -30,16 +31,12 @@ from gleaner.llm.words import SPACED, find_words, mix, text_slices
 from gleaner.operators import graph
 from gleaner.session import materialize
 
-ROWS = 3
 SIDE = 14
 SEED = 20240229
-#: texts at least so many percent like the best connected text they meet are held against their whole family
-NEAR = 25
-#: buckets that two texts of different families share at least; a pair of similarity 0.8 shares 51 of 196
-#: on average and fewer than 3 with a probability of less than 0.0001 (none at all included)
-MIN_SHARED = 3
-#: shingles of a block of texts that a task holds against another block
-BLOCK = 400_000
+#: counters of the sketch that tells rare shingles; a power of two
+CELLS = 1 << 20
+#: 64-bit words of the bitmap of a text's shingles, by which most candidates are told apart
+WORDS = 16
 
 _SIGNATURE = "doc_id long, _text long, n_shingles long, _h1 long, _h2 long, _a array<long>, _b array<long>"
 
@@ -139,60 +136,88 @@ def _can_reach(a: str, b: str, percent: int):
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-def _block_links(width: int, percent: int):
-    """applyInArrow: links between the foreign and all texts of a block that lie in two components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        shingles, first = shingle_hashes(find_words(table.column("text"), SPACED), width)
-        sets = [np.unique(shingles[first[i] : first[i + 1]]) for i in range(table.num_rows)]
-        node, comp = np.asarray(table.column("_node")), np.asarray(table.column("_comp"))
-        side = np.asarray(table.column("_foreign"))
-        left, right = np.flatnonzero(side), np.flatnonzero(side == 0)
-        x, y = [], []
-        if len(left) and len(right):
-            values, at = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
-            size = np.array([len(sets[i]) for i in right])
-            begin = np.cumsum(size) - size
-            for i in left:
-                own = np.searchsorted(values, sets[i])
-                own = own[(own < len(values))]
-                flag = np.zeros(len(values), dtype=np.int64)
-                flag[own[np.isin(values[own], sets[i], assume_unique=True)]] = 1
-                both = np.add.reduceat(flag[at], begin)
-                hit = (100 * both >= percent * (size + len(sets[i]) - both)) & (comp[right] != comp[i])
-                x += [int(node[i])] * int(hit.sum())
-                y += node[right[hit]].tolist()
-        return pa.table({"_x": pa.array(x, pa.int64()), "_y": pa.array(y, pa.int64())})
+def _own_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of texts and the distinct shingles of each."""
+    for batch in text_slices(batches):
+        shingles, first = shingle_hashes(find_words(batch.column("text"), SPACED), width)
+        yield batch, [np.unique(shingles[first[d] : first[d + 1]]) for d in range(len(first) - 1)]
+
+
+def _cells(width: int):
+    """mapInArrow: in how many texts of a task the shingles of each counter stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(CELLS, np.int64)
+        for _, sets in _own_shingles(batches, width):
+            for own in sets:
+                count += np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(own) > CELLS >> 4 else 0
+                if len(own) <= CELLS >> 4:
+                    np.add.at(count, (own & np.uint64(CELLS - 1)).astype(np.int64), 1)
+        held = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count[held])], names=["cell", "n"])
 
     return run
 
 
-def _within_families(placed: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between texts of one family that lie in two of its components.
+def rarity(texts: DataFrame, width: int) -> np.ndarray:
+    """The sketch of ``texts (text)``: ``CELLS`` counts, 8 MB whatever the number of texts."""
+    counted = texts.select("text").mapInArrow(_cells(width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[np.asarray(counted.column("cell"))] = np.asarray(counted.column("n"))
+    return out
 
-    The texts outside a family's largest component meet all texts of the family. Both are dealt over blocks
-    of about ``BLOCK`` shingles, and a task gets one block of each, so no pair is ever a row.
-    """
-    counted = placed.groupBy("_family", "_comp").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
-    parts = counted.groupBy("_family").agg(
-        F.max(F.struct("_n", "_comp", "_s")).alias("_top"), F.count("*").alias("_parts"), F.sum("_s").alias("_sum")
-    ).filter("_parts > 1")
-    blocks = parts.select(
-        "_family", F.col("_top._comp").alias("_main"), F.ceil(F.col("_sum") / BLOCK).cast("int").alias("_right"),
-        F.ceil((F.col("_sum") - F.col("_top._s")) / BLOCK).cast("int").alias("_left"),
-    )
-    split = materialize(placed.join(blocks, "_family"), "families").join(full, "_node")
 
-    def dealt(foreign: int, own: str, other: str) -> DataFrame:
-        rows = split.filter("_comp <> _main") if foreign else split
-        block = F.pmod(F.xxhash64("_node"), F.col(own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return rows.select(
-            "_family", (block if foreign else every).alias("_bl"), F.col(other), F.col(own), "_node", "_comp", "text"
-        ).select("_family", "_bl", (every if foreign else block).alias("_br"), "_node", "_comp", F.lit(foreign).alias("_foreign"), "text")
+_BITS = [f"_w{w}" for w in range(WORDS)]
+
+
+def _prefixes(width: int, percent: int, sketch):
+    """mapInArrow: the shingles of each text, rarest first, that one it is similar to must share, with their places
+    and a bitmap of all its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare = sketch.value
+        for batch, sets in _own_shingles(batches, width):
+            sizes = np.array([len(own) - -(-percent * len(own) // 100) + 1 for own in sets], np.int64)
+            picked = [own[np.lexsort((own, rare[(own & np.uint64(CELLS - 1)).astype(np.int64)]))[:k]] for own, k in zip(sets, sizes)]
+            place = np.concatenate([np.arange(k) for k in sizes]) if len(sizes) else np.empty(0, np.int64)
+            row = np.repeat(np.arange(len(sets)), sizes)
+            bits = np.zeros((len(sets), WORDS), np.uint64)
+            for d, own in enumerate(sets):
+                bit = (own >> np.uint64(40)) & np.uint64(64 * WORDS - 1)
+                np.bitwise_or.at(bits[d], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+            grams = np.concatenate(picked).view(np.int64) if picked else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(pa.array(row)) for c in ("_node", "n_shingles", "_comp")), pa.array(grams), pa.array(place),
+                    *(pa.array(np.ascontiguousarray(bits[row, w]).view(np.int64)) for w in range(WORDS)),
+                ],
+                names=["_node", "n_shingles", "_comp", "_gram", "_place", *_BITS],
+            )
+
+    return run
 
-    both = dealt(1, "_left", "_right").unionByName(dealt(0, "_right", "_left"))
-    return both.groupBy("_family", "_bl", "_br").applyInArrow(_block_links(width, percent), "_x long, _y long")
+
+def _contested_links(contested: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
+    """``_x, _y``: all links between texts of ``contested (_node, _comp, n_shingles, text)`` in different components."""
+    sketch = contested.sparkSession.sparkContext.broadcast(rarity(contested, width))
+    schema = ", ".join(f"{c} long" for c in ("_node", "n_shingles", "_comp", "_gram", "_place", *_BITS))
+    keyed = materialize(contested.mapInArrow(_prefixes(width, percent, sketch), schema), "prefixes")
+    # a shingle of one component only links nothing
+    between = keyed.groupBy("_gram").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low < _high").select("_gram")
+    open_ = materialize(keyed.join(between, "_gram", "semi"), "open")
+    x, y = (open_.select("_gram", *[F.col(c).alias(f"{c}_{s}") for c in ("_node", "n_shingles", "_comp", "_place", *_BITS)]) for s in "xy")
+    # so many shingles two sets of these sizes share at least; after the first one come no more than what follows it
+    need = F.ceil((F.col("n_shingles_x") + F.col("n_shingles_y")) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
+    rest = F.least(F.col("n_shingles_x") - F.col("_place_x"), F.col("n_shingles_y") - F.col("_place_y"))
+    # a bit that only one bitmap has is a shingle that only one set has
+    alone = {a: F.expr(" + ".join(f"bit_count({c}_{a} & ~{c}_{b})" for c in _BITS)) for a, b in ("xy", "yx")}
+    common = F.least(*[F.col(f"n_shingles_{a}") - alone[a] for a in "xy"])
+    met = x.join(
+        y, (x["_gram"] == y["_gram"]) & (F.col("_node_x") < F.col("_node_y")) & (F.col("_comp_x") != F.col("_comp_y"))
+        & _can_reach("n_shingles_x", "n_shingles_y", percent) & (rest >= need) & (common >= need),
+    )
+    pairs = met.select(F.col("_node_x").alias("_x"), F.col("_node_y").alias("_y")).distinct()
+    return _measured_pairs(materialize(pairs, "pairs"), full, width, percent).select("_x", "_y")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,8 +225,14 @@ def components(edges: DataFrame) -> DataFrame:
     return graph.components(edges, "_x", "_y")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, side: int = SIDE) -> DataFrame:
+def minima_of(percent: int) -> int:
+    """Minima of a sub-hash: as many as two texts at the bound still share with a probability of a half."""
+    return max(1, int(np.log(0.5) / np.log(min(percent, 99) / 100)))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int | None = None, side: int = SIDE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs (doc_id, text)``."""
+    rows = rows or minima_of(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
     signed = materialize(texts.mapInArrow(signatures(width, rows, side), _SIGNATURE), "signatures")
     usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -224,8 +255,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     )
     # each class goes to the best connected class it meets, which in a group of copies is their source
     degree = shared.groupBy("_node").agg(F.sum("_k").alias("_degree"))
-    ranked = F.struct("_degree", F.col("_node").alias("_lead"), F.col("n_shingles").alias("_size"))
-    led = shared.join(degree, "_node").withColumn("_top", F.max(ranked).over(bucket))
+    led = materialize(shared.join(degree, "_node").select("_key", "_node", "n_shingles", "_degree"), "led")
+    best = led.groupBy("_key").agg(F.max(F.struct("_degree", F.col("_node").alias("_lead"), F.col("n_shingles").alias("_size"))).alias("_top"))
+    led = led.join(best, "_key")
     nearest = materialize(
         led.filter(F.col("_node") != F.col("_top._lead")).filter(_can_reach("n_shingles", "_top._size", percent))
         .groupBy("_node").agg(F.max("_top").alias("_top")).select(F.col("_node").alias("_x"), F.col("_top._lead").alias("_y")),
@@ -234,48 +266,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     full = classes.select("_node", "_text").join(
         texts.withColumnRenamed("doc_id", "_node"), ["_node", "_text"]
     ).select("_node", "text")
-    close = materialize(_measured_pairs(nearest, full, width, min(NEAR, percent)), "close")
+    close = materialize(_measured_pairs(nearest, full, width, percent), "close")
     # a document with several texts ties their classes together
     twofold = (
         usable.join(classes.select("_h1", "_h2", "n_shingles", "_node"), ["_h1", "_h2", "n_shingles"])
         .filter("doc_id <> _node").select(F.col("doc_id").alias("_x"), F.col("_node").alias("_y"))
         .join(classes.select(F.col("_node").alias("_x")).distinct(), "_x", "semi")
     )
-    links = close.filter(F.col("_percent") >= percent).select("_x", "_y").union(twofold)
-    joined = components(links)
-    families = components(close.select("_x", "_y").union(twofold))
+    joined = components(close.select("_x", "_y").union(twofold))
     placed = materialize(
-        classes.select("_node", "n_shingles")
-        .join(joined.select(F.col("node").alias("_node"), "component"), "_node", "left")
-        .join(families.select(F.col("node").alias("_node"), F.col("component").alias("_family")), "_node", "left")
-        .select("_node", "n_shingles", F.coalesce("component", "_node").alias("_comp"), F.coalesce("_family", "_node").alias("_family")),
+        classes.select("_node", "n_shingles").join(joined.select(F.col("node").alias("_node"), "component"), "_node", "left")
+        .select("_node", "n_shingles", F.coalesce("component", "_node").alias("_comp")),
         "placed",
     )
-    # candidates in two families, pair by pair
-    mixed = (
-        shared.select("_key", "_node").join(placed, "_node")
-        .withColumn("_low", F.min("_family").over(bucket)).withColumn("_high", F.max("_family").over(bucket)).filter("_low < _high")
-    )
-    counted = mixed.groupBy("_key", "_family").agg(F.count("*").alias("_k"))
-    main = counted.groupBy("_key").agg(F.max(F.struct("_k", "_family")).alias("_m")).select("_key", F.col("_m._family").alias("_main"))
-    mixed = materialize(mixed.join(main, "_key").select("_key", "_node", "n_shingles", "_family", "_main"), "mixed")
-    p = mixed.filter("_family <> _main").select("_key", F.col("_node").alias("_x"), F.col("n_shingles").alias("_sx"), F.col("_family").alias("_fx"))
-    q = mixed.select("_key", F.col("_node").alias("_y"), F.col("n_shingles").alias("_sy"), F.col("_family").alias("_fy"), "_main")
-    pairs = (
-        p.join(q, (p["_key"] == q["_key"]) & (F.col("_fx") != F.col("_fy")) & ((F.col("_fy") == F.col("_main")) | (F.col("_x") < F.col("_y"))))
-        .filter(_can_reach("_sx", "_sy", percent))
-        .groupBy(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).agg(F.count("*").alias("_k"))
-        .filter(F.col("_k") >= MIN_SHARED).select("_x", "_y")
-    )
-    across = _measured_pairs(materialize(pairs, "pairs"), full, width, percent).select("_x", "_y")
-    # texts of one family in two components, block by block
-    within = _within_families(placed, full, width, percent)
-    more = materialize(across.union(within), "links")
+    # buckets with texts of two components still hold candidates
+    met = shared.select("_key", "_node").join(placed.select("_node", "_comp"), "_node")
+    mixed = met.groupBy("_key").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).filter("_low < _high").select("_key")
+    nodes = shared.select("_key", "_node").join(mixed, "_key", "semi").select("_node").distinct()
+    contested = materialize(placed.join(nodes, "_node", "semi").join(full, "_node").select("_node", "_comp", "n_shingles", "text"), "contested")
+    more = materialize(_contested_links(contested, full, width, percent), "links")
     if not more.isEmpty():
         joined = components(joined.select(F.col("node").alias("_x"), F.col("component").alias("_y")).union(more))
-    first = joined
     group = classes.select("_h1", "_h2", "n_shingles", "_node").join(
-        first.withColumnRenamed("node", "_node"), "_node", "left"
+        joined.withColumnRenamed("node", "_node"), "_node", "left"
     ).select("_h1", "_h2", "n_shingles", F.coalesce("component", "_node").alias("_component"))
     return (
         signed.select("doc_id", "n_shingles", "_h1", "_h2").join(group, ["_h1", "_h2", "n_shingles"], "left")

@@ -218,6 +218,29 @@ def test_large_group_of_near_copies(spark):
     assert len(set(want.values())) > 120  # some copies are too far from all others
 
 
+@pytest.mark.parametrize("percent", [80, 50])
+def test_recall_of_links(spark, percent):
+    """Pairs of families at all similarities around the bound, beside a large family that shares buckets with them."""
+    draw = random.Random(percent)
+    made, n = [], 0
+    for family in range(60):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(5):
+            copy = list(base)
+            for k in draw.sample(range(60), draw.randint(0, 3 if percent == 80 else 9)):
+                copy[k] = f"e{draw.random()}"
+            made.append((n, " ".join(copy)))
+            n += 1
+    common = [f"c{i}" for i in range(80)]
+    made += [(n + k, " ".join(w if draw.random() < 0.85 else f"x{draw.random()}" for w in common)) for k in range(200)]
+    sets = {i: {tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for i, t in made}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in dedup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 2, percent).collect()}
+    assert len(links) > 150 and sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    want, _ = brute_components(made, 2, percent)
+    assert all(want[a] == want[b] for a, b in zip(range(len(made)), (got[i] for i in range(len(made)))))  # nothing is tied that is not
+
+
 def test_chains_are_connected(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)], "_x long, _y long")
     got = {r["node"]: r["component"] for r in dedup.components(edges).collect()}
