@@ -11,7 +11,10 @@ from gleaner.catalogue.registry import query, table
 from gleaner.operators import reports as X, tables
 from gleaner.session import checkpoint_dir
 from gleaner.sources import sinks
+from gleaner.sources.upserts import UpsertTable
 from gleaner.streaming import jobs as K
+from gleaner.streaming.visited import VisitedUrls
+from gleaner.streaming.windows import WindowedSums
 
 # jobs, crawls and log lines spelled from events
 JOB = {
@@ -152,21 +155,16 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _run(df, mode: str):
-    """Run a stream to its end and return the table it wrote."""
+def _batches(df, order, files: int = 3):
+    """Rows dealt over files by ``order``, which a stream reads in batches of one file each."""
     spark = df.sparkSession
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    writer = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        writer.outputMode(mode).format("parquet").option("path", f"{base}/out").start().awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{base}/out")
+    path = f"{checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    df.repartitionByRange(files, order).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-    def replace(batch, batch_id):
-        # a finished result replaces the one before it
-        batch.write.mode("overwrite").parquet(f"{base}/out")
 
-    writer.outputMode(mode).foreachBatch(replace).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+def _base(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("stream_incremental_leads", f"SELECT source_url, business_name, email, phone, lead_type, final_score FROM ({LQ.FLAT_SCORED_SQL}) v WHERE NOT starts_with(source_url, 'doc:') AND NOT contains(source_url, '/dir/home')")
@@ -183,20 +181,27 @@ def _(spark, sf):
     )
 
 
-def _attempt_stream(spark, sf):
-    return _stream(spark, sf, "events").select(
+def _attempts(spark, sf):
+    return table(spark, sf, "events").select(
         F.expr(CQ._URL).alias("url"), (F.col("event_type") != "error").alias("ok"), F.col("ts").cast("timestamp").alias("ts")
     )
 
 
 @query("stream_distinct_urls", f"SELECT DISTINCT url FROM ({CQ.ATTEMPTS_SQL}) a")
 def _(spark, sf):
-    return _run(K.distinct_urls(_attempt_stream(spark, sf), "60 days"), "append").select("url")
+    # dealt by a hash: URLs and event times are mixed over the batches
+    base = _base(spark, "visits")
+    visited = VisitedUrls(spark, f"{base}/visited", buckets=8, bits=1 << 16)
+    K.first_visits(_batches(_attempts(spark, sf), F.xxhash64("ts", "url")), visited, f"{base}/checkpoint").awaitTermination()
+    return visited.urls().select("url")
 
 
 @query("stream_crawl_status", CQ.CRAWL_STATUS_SQL)
 def _(spark, sf):
-    return _run(K.running_status(_attempt_stream(spark, sf)), "complete")
+    base = _base(spark, "status")
+    store = UpsertTable(spark, f"{base}/table", K.STATUS, ["url"], buckets=8)
+    K.status_upserts(_batches(_attempts(spark, sf), "ts"), store, f"{base}/checkpoint").awaitTermination()
+    return store.read()
 
 
 @query(
@@ -205,6 +210,11 @@ def _(spark, sf):
     FROM ({METRICS_SQL}) m GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _run(K.windowed_throughput(metrics(events)), "complete")
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "domain", "n_pages", "n_leads")
+    base = _base(spark, "throughput")
+    events = metrics(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    sums = WindowedSums(spark, f"{base}/sums", "domain", ["pages", "leads"])
+    # dealt by a hash: later batches hold rows of windows that the first one has finished
+    K.throughput_windows(_batches(events, F.xxhash64("ts", "domain")), sums, f"{base}/checkpoint").awaitTermination()
+    rows = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    out = sums.corrected(rows)
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "domain", F.col("pages").alias("n_pages"), F.col("leads").alias("n_leads"))

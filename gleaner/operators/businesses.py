@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import normalize as N, urls as U
 from gleaner.operators.graph import components
+from gleaner.operators.similarity import SHARE, similar_pairs
+from gleaner.session import materialize
 
 #: names that say nothing about the business
 NAMELESS = ["", "unknownbusiness"]
@@ -25,17 +27,50 @@ def _keys(leads: DataFrame) -> DataFrame:
     return leads.select("id", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key")).filter("id IS NOT NULL")
 
 
+def _ties(keys: DataFrame) -> DataFrame:
+    """(a, b): every id tied to the least one with the same key."""
+    least = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    return keys.join(least, "key").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+
+
+def _tied(leads: DataFrame, ties: DataFrame) -> DataFrame:
+    found = components(ties).select(F.col("node").alias("id"), F.col("component").alias("_business"))
+    return leads.join(found, "id", "left").withColumn("business_id", F.coalesce("_business", "id")).drop("_business")
+
+
 def business_ids(leads: DataFrame) -> DataFrame:
     """``leads`` with ``business_id``: the least id among leads tied by e-mail, phone or name.
 
     A key ties its leads to the least of them, so a key of very many leads costs one row per lead and
     no pairs are formed.
     """
-    keys = _keys(leads)
-    least = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
-    ties = keys.join(least, "key").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    found = components(ties).select(F.col("node").alias("id"), F.col("component").alias("_business"))
-    return leads.join(found, "id", "left").withColumn("business_id", F.coalesce("_business", "id")).drop("_business")
+    return _tied(leads, _ties(_keys(leads)))
+
+
+def name_blocks(leads: DataFrame) -> DataFrame:
+    """(id, block, text): the name key of a lead in each block where a similar name means the same business:
+    one address, one mail domain or one website."""
+    blocks = F.array(
+        F.concat(F.lit("a:"), F.nullif(F.lower(F.trim("address")), F.lit(""))),
+        F.concat(F.lit("m:"), F.nullif(F.lower(F.substring_index("email", "@", -1)), F.lit(""))),
+        F.concat(F.lit("w:"), F.when(F.col("website") != "", U.domain("website"))),
+    )
+    rows = leads.select("id", F.explode(F.filter(blocks, lambda b: b.isNotNull())).alias("block"), name_key("business_name").alias("text"))
+    return rows.filter("id IS NOT NULL AND text IS NOT NULL")
+
+
+def fuzzy_business_ids(leads: DataFrame, share: float = SHARE) -> DataFrame:
+    """As :func:`business_ids`; leads with similar names in a block are tied as well.
+
+    Names are similar within an edit distance of ``share`` of the longer one. Distinct names of a block are
+    compared, through rare q-grams; a pair of names ties the least lead of the one with the least of the other,
+    so neither a common name nor a block of very many leads becomes pairs of leads.
+    """
+    named = materialize(name_blocks(leads).groupBy("block", "text").agg(F.min("id").alias("id")), "names")
+    pairs = similar_pairs(named, share)
+    a, b = (named.select("block", F.col("text").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab")
+    similar = pairs.join(a, ["block", "a"]).join(b, ["block", "b"]).filter("id_a <> id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return _tied(leads, _ties(_keys(leads)).union(similar))
 
 
 def _values(known: DataFrame) -> DataFrame:

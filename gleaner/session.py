@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +62,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_stages = threading.local()
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what :func:`materialize` writes meanwhile, for jobs that run again and again.
+
+    Nothing that outlives the block may read those tables: write its results before it ends.
+    """
+    stack = _stages.__dict__.setdefault("open", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
@@ -66,5 +88,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     target = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _stages.__dict__.get("open"):
+        _stages.open[-1].append(target)
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import leads as L
+from gleaner.session import materialize, staged
 from gleaner.sources import schemas
 from gleaner.sources.readers import with_schema
 
@@ -52,23 +53,35 @@ def export_all(leads: DataFrame, folder: str) -> DataFrame:
 
 
 class Tables:
-    """The five lead tables as Parquet folders below one path."""
+    """The five lead tables as Parquet folders below one path, each in 256 parts by the first two digits of the id.
+
+    Ids are hashes, so parts are of one size, and a batch of few rows meets the stored rows of few parts.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _stored(self, table: str) -> DataFrame:
+        return self.spark.read.schema(f"{schemas.TABLES[table]}, _part string").parquet(f"{self.path}/{table}")
+
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.path}/{table}")
+        return self._stored(table).drop("_part")
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Add rows. Ids are keys: rows that may be stored already go through :meth:`append_new`."""
-        wanted = with_schema(rows, schemas.TABLES[table])
-        wanted.write.mode("append").parquet(f"{self.path}/{table}")
+        wanted = with_schema(rows, schemas.TABLES[table]).withColumn("_part", _part())
+        # rows of a part go to one file, or to several where it is large
+        wanted.hint("rebalance", F.col("_part")).write.mode("append").partitionBy("_part").parquet(f"{self.path}/{table}")
 
     def exists(self, table: str) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
+    def stored_ids(self, table: str, rows: DataFrame) -> DataFrame:
+        """Ids of the stored rows in the parts that ``rows`` fall into; other parts are not read."""
+        parts = sorted(r[0] for r in rows.select(_part().alias("_part")).distinct().collect())
+        return self._stored(table).filter(F.col("_part").isin(parts)).select("id")
+
     def append_new(self, table: str, rows: DataFrame) -> None:
         """Add the rows whose id is not stored yet, each once, so a replay changes nothing. Of rows with
         one id the most confident, then the earliest is taken."""
@@ -76,9 +89,15 @@ class Tables:
         order = [-F.col(c) if c == "confidence_score" else F.col(c) for c in ("confidence_score", "created_at") if c in rest]
         first = F.min_by(F.struct(*rest), F.struct(*order, F.to_json(F.struct(*rest))))
         fresh = rows.groupBy("id").agg(first.alias("_row")).select("id", "_row.*").select(*rows.columns)
-        if self.exists(table):
-            fresh = fresh.join(self.read(table).select("id"), "id", "left_anti")
-        self.append(table, fresh)
+        with staged(self.spark):
+            if self.exists(table):
+                fresh = materialize(fresh, "fresh")
+                fresh = fresh.join(self.stored_ids(table, fresh), "id", "left_anti")
+            self.append(table, fresh)
 
     def write_jdbc(self, table: str, url: str, **options) -> None:
         self.read(table).write.jdbc(url, table, mode="append", properties={k: str(v) for k, v in options.items()})
+
+
+def _part():
+    return F.coalesce(F.substring("id", 1, 2), F.lit("none"))
