@@ -263,9 +263,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         .groupBy("_node").agg(F.max("_top").alias("_top")).select(F.col("_node").alias("_x"), F.col("_top._lead").alias("_y")),
         "nearest",
     )
-    full = classes.select("_node", "_text").join(
-        texts.withColumnRenamed("doc_id", "_node"), ["_node", "_text"]
-    ).select("_node", "text")
+    # texts that have company in a bucket are fetched once, a small part of all
+    named = classes.select("_node", "_text").join(shared.select("_node").distinct(), "_node", "semi")
+    full = materialize(texts.withColumnRenamed("doc_id", "_node").join(named, ["_node", "_text"], "semi").select("_node", "text"), "texts")
     close = materialize(_measured_pairs(nearest, full, width, percent), "close")
     # a document with several texts ties their classes together
     twofold = (
