@@ -5,11 +5,13 @@ addresses, bank accounts, social security numbers, credentials, and names of peo
 replacement keeps the format (digits stay digits, capitals stay capitals, prefixes such as country codes
 stay), names keep gender and script. One entity has one replacement in the whole corpus, whatever its
 spelling in a text, so references stay together; name parts are replaced one by one, so ``Mrs Ada Lane`` and
-``Mrs Lane`` stay the same person.
+``Dr Lane`` stay the same person. A given name has one gender in the corpus, the least that its titles tell (f, m,
+none). A secret is known by its value, whatever announces it.
 
-Collisions are checked over the distinct entities of the corpus: where two would get the same replacement, or
-one the original of another, all but the least entity draw again until none is left. Only entities that
-drew again are handed to the texts, through a join on the hash of the text; all others are computed in place.
+Collisions are checked over the distinct entities of the corpus, of all kinds: where two would get the same
+replacement, or one the original of another, all but the least entity draw again until none is left. Only entities
+that drew again, or whose titles tell more than one gender, are handed to the texts, through a join on the hash of
+the text; all others are computed in place.
 Replacements get longer with the attempts, so that one is left however many values of a format occur.
 
 Defined cases: a null text stays null, an empty one empty; texts without entities are unchanged; repeated rows
@@ -57,12 +59,19 @@ _NAME = r"(?![a-zß-öø-ÿά-ώа-я])[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _IS = r"""["']?[ \t]{0,8}[:=][ \t]{0,8}["']?"""
 _IP4 = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}"
 _HEX4 = r"[0-9a-fA-F]{1,4}"
-_TITLE = "|".join(sorted((re.escape(t) for g in TITLES.values() for t in g), key=len, reverse=True))
+_GENDER = {spelt: g for g, ts in TITLES.items() for t in ts for spelt in (t, t.upper())}
+_TITLE = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
+#: prefixes of keys that services hand out; a replacement keeps them
+_PREFIX = r"(?:gh[opsru]_|github_pat_|glpat-|sk-|pk-|xox[abprs]-|AIza)"
 _PATTERN = re.compile(
     rf"""
     (?P<email>(?<![\w.%+-])[\w%+-][\w.%+-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)
     |(?:(?<![^\W_])(?i:password|passwd|pwd)|(?<=[a-z0-9])(?:Password|Passwd|Pwd)){_IS}(?P<password>[^\s"',;]+)
     |(?:(?<![^\W_])(?i:token|secret(?:[_-]?key)?|api[_-]?key|access[_-]?key)|(?<=[a-z0-9])(?:Token|Secret(?:Key)?|ApiKey|AccessKey)){_IS}(?P<token>[\w+/=.-]{{8,}})
+    |-----BEGIN[ ](?:[A-Z]+[ ])?PRIVATE[ ]KEY-----(?P<block>.*?)(?:-----END|\Z)
+    |(?<![^\W_])(?i:bearer)[ ]+(?=[\w+/=.~-]*\d)(?P<bearer>[\w+/=.~-]{{16,}})
+    |(?<![^\W_])(?i:password|passphrase|passwd|pwd)[ ](?i:is|was)[ ]["']?(?=[^\s"',;]*[^\W\d_]?[\d@#$%^&*_+=])(?P<said>[^\s"',;]*[^\s"',;.!?])
+    |(?<![\w-])(?P<service>{_PREFIX}(?=[\w-]*\d)[\w-]{{16,}})
     |(?<![\w])(?P<access>(?:AKIA|ASIA)[0-9A-Z]{{16}}){_ENDS}
     |(?<![\w])(?P<hex>(?=[a-fA-F]*[0-9])[0-9a-fA-F]{{32,}}){_ENDS}
     |(?<![\w.])(?P<ip>{_IP4})(?!\.?\w)
@@ -79,12 +88,12 @@ _PATTERN = re.compile(
       |(?<![\w.-])0\d{{2,4}}[ ]\d{{3,4}}[ ]\d{{3,4}}(?![\w-]|\.\w))
     |(?<![\w])(?P<title>{_TITLE})\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,3}})
     """,
-    re.VERBOSE,
+    re.VERBOSE | re.DOTALL,
 )
 #: what every entity has: without any of these a text is left alone
-_HINT = re.compile(rf"[0-9@:=]|(?<![\w])(?:{_TITLE})\.?[ ]")
+_HINT = re.compile(rf"[0-9@:=#$%^&*_+]|(?<![\w])(?:{_TITLE})\.?[ ]")
 _CODE = re.compile(rf"[17]|{fixed.CALLING_CODES.removeprefix('^')}|\d{{1,3}}")
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_SECRETS = {"password", "token", "block", "bearer", "said", "service"}
 _DIGITS = {"card", "phone", "ssn", "ip"}
 #: what values without letters and digits are drawn from; all may stand in a token or a password
 _SYMBOLS = "+-./=_"
@@ -118,8 +127,9 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
         if kind == "name":
             for s, e, part in _names(match):
                 found.append((s, e, part))
-                if len(text[s:e]) > 1:
+                if e - s > 1:
                     people.setdefault(text[s:e], part)
+                    people.setdefault(text[s:e].upper(), part)
         else:
             found.append((match.start(kind), match.end(kind), kind))
     if people:  # the same name without its title
@@ -135,6 +145,14 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def entity(kind: str, original: str) -> tuple[str, str, str]:
+    """What a span stands for: kind and value, the same for all its spellings, and the form a title tells."""
+    if kind in _SECRETS:
+        kind = "hex" if re.fullmatch(r"(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,}", original) else "secret"
+    name, _, form = kind.partition("_")
+    return name, canonical(name, original), form
+
+
 def canonical(kind: str, value: str) -> str:
     """One spelling for all spellings of an entity."""
     if kind == "ip":
@@ -156,7 +174,7 @@ def canonical(kind: str, value: str) -> str:
         return value.lower()
     if kind == "iban":
         return value.replace(" ", "")
-    return value.casefold() if kind in ("email", "surname") or kind.startswith("given") else value
+    return value.casefold() if kind in ("email", "surname", "given") else value
 
 
 def _stream(key: str, kind: str, value: str, attempt: int) -> Callable[[int], int]:
@@ -200,7 +218,7 @@ def _luhn(digits: str) -> int:
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
-def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
+def surrogate(kind: str, value: str, attempt: int, key: str, form: str = "n") -> str:
     """The replacement of a canonical entity, canonical as well."""
     draw = _stream(key, kind, value, attempt)
     if kind == "email":
@@ -215,7 +233,7 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
     if kind in ("ip", "ipv"):
         return ipaddress.IPv6Address(b"".join(draw(1 << 16).to_bytes(2, "big") for _ in range(8))).compressed
     valid = kind == "card" and _luhn(value) == 0
-    if kind in ("phone", "ssn", "card", "iban", "access", "hex", "token", "password"):
+    if kind in ("phone", "ssn", "card", "iban", "access", "hex", "secret"):
         value = _longer(value, attempt)
     if kind == "card":
         body = value[0] + _shaped(value[1:-1], draw)
@@ -230,12 +248,13 @@ def surrogate(kind: str, value: str, attempt: int, key: str) -> str:
         return value[:2] + _shaped(value[2:], draw)
     if kind == "access":
         return value[:4] + _shaped(value[4:], draw)
-    if kind == "hex" or (kind in ("token", "password") and re.fullmatch(r"[0-9a-f]+", value)):
+    if kind == "hex" or (kind == "secret" and re.fullmatch(r"[0-9a-f]+", value)):
         return "".join("0123456789abcdef"[draw(16)] for _ in value)
-    if kind in ("token", "password"):
-        return _shaped(value, draw)
+    if kind == "secret":
+        kept = re.match(_PREFIX, value)
+        return value[: kept.end()] + _shaped(value[kept.end() :], draw) if kept else _shaped(value, draw)
     script = _script(value)
-    end = ENDINGS[script]["s" if kind == "surname" else kind[-1]]
+    end = ENDINGS[script]["s" if kind == "surname" else form]
     parts = SYLLABLES[script]
     return "".join(parts[draw(len(parts))] for _ in range(2 + draw(2) + attempt // 2)) + end[draw(len(end))]
 
@@ -253,19 +272,23 @@ def rendered(kind: str, original: str, new: str) -> str:
         return new.upper() if original.isupper() else new
     if kind == "email" and len(new) == len(original):
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new))
-    if kind == "surname" or kind.startswith("given"):
+    if kind in ("surname", "given"):
         return new.upper() if len(original) > 1 and original.isupper() else new[:1].upper() + new[1:]
     return new
 
 
-def replace_entities(text: str, key: str = KEY, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[str]]:
-    """The text with its replacements, and the kinds replaced."""
+def replace_entities(text: str, key: str = KEY, known: dict[tuple[str, str], tuple[int, str]] | None = None) -> tuple[str, list[str]]:
+    """The text with its replacements, and the kinds replaced. ``known`` has (attempt, form) of entities that drew again
+    or that have several forms in the corpus; of several forms in the text the least counts."""
     out, at, kinds = [], 0, []
-    for s, e, kind in find_entities(text):
-        original = text[s:e]
-        value = canonical(kind, original)
-        new = surrogate(kind, value, (attempts or {}).get((kind, value), 0), key)
-        out += [text[at:s], rendered(kind, original, new)]
+    found = [(s, e, kind, *entity(kind, text[s:e])) for s, e, kind in find_entities(text)]
+    forms: dict[tuple[str, str], str] = {}
+    for *_, name, value, form in found:
+        forms[name, value] = min(form, forms.get((name, value), form))
+    for s, e, kind, name, value, _ in found:
+        attempt, form = (known or {}).get((name, value), (0, forms[name, value]))
+        new = surrogate(name, value, attempt, key, form)
+        out += [text[at:s], rendered(name, text[s:e], new)]
         at = e
         kinds.append(kind.partition("_")[0])
     return "".join([*out, text[at:]]) if kinds else text, kinds
@@ -276,38 +299,44 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, text in zip(batch.column("_text").to_pylist(), batch.column("text").to_pylist()):
             if text:
-                rows += [(key, k, v) for k, v in sorted({(k, canonical(k, text[s:e])) for s, e, k in find_entities(text)})]
-        kinds = [pa.int64(), pa.string(), pa.string()]
-        columns = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_text", "kind", "value"])
+                rows += [(key, *x) for x in sorted({entity(k, text[s:e]) for s, e, k in find_entities(text)})]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string()]
+        columns = list(zip(*rows)) if rows else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_text", "kind", "value", "form"])
 
 
 def _drawn(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "value", "form", "attempt"]
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")))
-            new = pa.array([surrogate(k, v, a, key) for k, v, a in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "value", "attempt")), new], names=["kind", "value", "attempt", "new"])
+            rows = zip(*(batch.column(c).to_pylist() for c in names))
+            new = pa.array([surrogate(k, v, a, key, f) for k, v, f, a in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), new], names=[*names, "new"])
 
     return run
 
 
 def _draw(values: DataFrame, key: str) -> DataFrame:
-    return values.mapInArrow(_drawn(key), "kind string, value string, attempt int, new string")
+    return values.select("kind", "value", "form", "attempt").mapInArrow(_drawn(key), "kind string, value string, form string, attempt int, new string")
 
 
 def redrawn(values: DataFrame, key: str = KEY) -> DataFrame:
-    """Of the distinct ``kind, value`` of a corpus those that must draw again: ``kind, value, attempt``."""
-    drawn = materialize(_draw(values.select("kind", "value", F.lit(0).alias("attempt")), key), "surrogates")
+    """Of the distinct ``kind, value, form`` of a corpus those that must draw again: ``kind, value, form, attempt``.
+
+    First draws are written once; a round writes those that have drawn again, which are few.
+    """
+    first = materialize(_draw(values.withColumn("attempt", F.lit(0)), key), "surrogates")
+    changed = None
     while True:
-        least = drawn.groupBy("kind", "new").agg(F.min("value").alias("_least"), F.count("*").alias("_n")).filter("_n > 1")
-        twice = drawn.join(least, ["kind", "new"]).filter("value <> _least").select("kind", "value")
-        taken = drawn.join(drawn.select("kind", F.col("value").alias("new")), ["kind", "new"], "semi").select("kind", "value")
+        drawn = first if changed is None else first.join(changed, ["kind", "value"], "anti").unionByName(changed)
+        least = drawn.groupBy("new").agg(F.min(F.struct("kind", "value")).alias("_least"), F.count("*").alias("_n")).filter("_n > 1")
+        twice = drawn.join(least, "new").filter("struct(kind, value) <> _least").select("kind", "value")
+        taken = drawn.join(first.select(F.col("value").alias("new")).distinct(), "new", "semi").select("kind", "value")
         again = materialize(twice.union(taken).distinct(), "again")
         if again.isEmpty():
-            return drawn.filter("attempt > 0").select("kind", "value", "attempt")
-        retried = drawn.join(again, ["kind", "value"], "semi").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
-        drawn = materialize(drawn.join(again, ["kind", "value"], "anti").unionByName(_draw(retried, key)), "surrogates")
+            return drawn.filter("attempt > 0").select("kind", "value", "form", "attempt")
+        retried = _draw(drawn.join(again, ["kind", "value"], "semi").withColumn("attempt", F.col("attempt") + 1), key)
+        changed = materialize(retried if changed is None else changed.join(again, ["kind", "value"], "anti").unionByName(retried), "redrawn")
 
 
 def _replace(key: str):
@@ -315,8 +344,8 @@ def _replace(key: str):
         for batch in text_slices(batches):
             texts, kinds = [], []
             for text, again in zip(batch.column("text").to_pylist(), batch.column("_again").to_pylist()):
-                attempts = {(x["kind"], x["value"]): x["attempt"] for x in again or []}
-                new, found = replace_entities(text, key, attempts) if text else (text, [])
+                known = {(x["kind"], x["value"]): (x["attempt"], x["form"]) for x in again or []}
+                new, found = replace_entities(text, key, known) if text else (text, [])
                 texts.append(new)
                 kinds.append(found)
             out = {"text": pa.array(texts, batch.schema.field("text").type), "_kinds": pa.array(kinds, pa.list_(pa.string()))}
@@ -328,11 +357,14 @@ def _replace(key: str):
 def _surrogated(docs: DataFrame, key: str) -> DataFrame:
     """``docs``, which has no column named as those added here, with new texts and ``_kinds``."""
     keyed = docs.withColumn("_text", F.xxhash64("text"))
-    entities = materialize(keyed.select("_text", "text").mapInArrow(_find, "_text long, kind string, value string"), "entities")
-    again = redrawn(entities.select("kind", "value").distinct(), key)
+    entities = materialize(keyed.select("_text", "text").mapInArrow(_find, "_text long, kind string, value string, form string"), "entities")
+    values = materialize(entities.groupBy("kind", "value").agg(F.min("form").alias("form"), F.max("form").alias("_last")), "values")
+    again = redrawn(values.select("kind", "value", "form"), key)
+    several = values.filter("form <> _last").select("kind", "value", "form", F.lit(0).alias("attempt"))
+    told = again.unionByName(several.join(again, ["kind", "value"], "anti"))
     by_text = materialize(
-        entities.join(again, ["kind", "value"]).distinct()
-        .groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_again")),
+        entities.select("_text", "kind", "value").join(told, ["kind", "value"]).distinct()
+        .groupBy("_text").agg(F.collect_list(F.struct("kind", "value", "attempt", "form")).alias("_again")),
         "redrawn",
     )
     joined = keyed.join(by_text, "_text", "left").select(*docs.columns, "_again")
@@ -342,9 +374,9 @@ def _surrogated(docs: DataFrame, key: str) -> DataFrame:
 
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with the entities in ``text`` replaced; same columns."""
-    own = {c: c if c == "text" else f"_own_{c}" for c in docs.columns}
+    own = {c: c if c == "text" else f"_own_{i}" for i, c in enumerate(docs.columns)}
     replaced = _surrogated(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), key)
-    return replaced.select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
+    return replaced.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
