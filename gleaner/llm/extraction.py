@@ -47,10 +47,13 @@ CHUNK = 20_000
 
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub "
-    "sup time tt u var wbr".split()
+    "sup time tt u var wbr object math semantics mi mn mo ms mtext mspace mrow msub msup msubsup mfrac msqrt mroot munder mover munderover".split()
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style template textarea iframe noscript noembed noframes object svg math canvas title select".split())
+#: what holds no text of the page, whatever stands in it
+_RAW = set("script style template iframe noembed noframes title".split())
+#: of these, what runs to the end of the page if it is not closed, as in a browser; others end nothing
+_OPEN_ENDED = {"script", "style"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -191,7 +194,7 @@ def page_blocks(html: str) -> list[Block]:
         elif tag in _RAW:
             if not match["rest"].endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*+(?:>|\Z)", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                at = close.end() if close else len(html) if tag in _OPEN_ENDED else at
         elif tag not in _VOID:
             closes = _CLOSES.get(tag) or ({"p"} if tag not in _INLINE else ())
             if outer and tag not in _INLINE and stack[outer[-1]].tag in closes:
