@@ -218,6 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, with their columns."""
-    named = docs.select(*[F.col(c).alias(c if c in ("doc_id", "text") else f"_own_{c}") for c in docs.columns])
+    names = {c: c if c in ("doc_id", "text") else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     clean = matched(named, benchmark, window, block_bytes).filter(~F.col("contaminated"))
-    return clean.select(*[F.col(c if c in ("doc_id", "text") else f"_own_{c}").alias(c) for c in docs.columns])
+    return clean.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -192,9 +192,12 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    logs = estimate(_patterns(measured(docs.select("text"))), list(votes()))
-    names = [f"_own_{c}" for c in docs.columns]
-    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    kept = _verdict(measured(own.withColumn("text", F.col("_own_text"))), logs).filter("kept AND _row >= 0")
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Texts are measured once: rows and measures are written, and the votes are counted and weighed from there.
+    """
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    stored = materialize(measured(own.withColumn("text", F.col(names["text"]))).drop("text", "_row"), "rules")
+    logs = estimate(_patterns(stored), list(votes()))
+    return _verdict(stored, logs).filter("kept").select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -356,6 +356,34 @@ def test_blocks_of_a_page():
         extraction.page_blocks(hostile)
 
 
+def test_visible_elements_are_no_raw_text():
+    texts = lambda html: [b.text for b in extraction.page_blocks(html)]
+    assert texts("<article><p>First.</p><svg><p>Second.</p><p>Third.</p></article>") == ["First.", "Second.", "Third."]
+    assert texts("<p>We know <math><mi>x</mi></math> holds</p>") == ["We know x holds"]
+    assert texts("<p>See <object>a fallback</object> here</p><noscript><p>No script.</p></noscript>") == ["See a fallback here", "No script."]
+    for tag in ("math", "svg", "object", "noscript", "select", "textarea", "canvas", "title", "iframe", "template"):
+        assert texts(f"<p>One.</p><{tag}><p>Two.</p>")[-1] == "Two.", tag
+    for tag in ("script", "style", "title", "iframe", "template"):
+        assert texts(f"<p>One.</p><{tag}>var x = '<p>no</p>'</{tag}><p>Two.</p>") == ["One.", "Two."], tag
+
+
+def test_scores_of_the_labeller_by_plain_loops():
+    """Both directions of a page, gate by gate."""
+    model, draw = extraction.Labeller(4, 3, 5), np.random.default_rng(6)
+    x = draw.normal(size=(6, 4))
+    wanted = np.full(6, model.w["bias"][0])
+    for side, steps in (("f", range(6)), ("b", range(5, -1, -1))):
+        state, cell = [0.0] * 3, [0.0] * 3
+        for t in steps:
+            z = [sum(x[t, a] * model.w[f"x{side}"][a, k] for a in range(4)) + sum(state[a] * model.w[f"h{side}"][a, k] for a in range(3)) for k in range(12)]
+            sig = [1 / (1 + np.exp(-v)) for v in z]
+            cell = [sig[3 + k] * cell[k] + sig[k] * np.tanh(z[9 + k]) for k in range(3)]
+            state = [sig[6 + k] * np.tanh(cell[k]) for k in range(3)]
+            wanted[t] += sum(state[k] * model.w[f"o{side}"][k] for k in range(3))
+    got = model.label([6], iter([x[:2], x[2:]]))
+    assert np.allclose(got, 1 / (1 + np.exp(-wanted)))
+
+
 def test_marks_of_deep_pages():
     deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
     html = deep(6, "<article class=post>" + deep(8, "<p>Text.</p>") + "<aside id=side>" + deep(8, "<p>Other.</p>") + "</aside></article>" + deep(9, "<p>After.</p>"))
@@ -473,15 +501,47 @@ def test_clean_texts_stay(docs):
 
 
 def test_surrogates_stay_distinct(spark):
-    values = spark.createDataFrame([("given_m", f"name{i}") for i in range(3000)] + [("ssn", f"12345{i:04d}") for i in range(50)], "kind string, value string")
+    values = spark.createDataFrame([("given", f"name{i}", "m") for i in range(3000)] + [("ssn", f"12345{i:04d}", "") for i in range(50)], "kind string, value string, form string")
+    again = {(r["kind"], r["value"]): r["attempt"] for r in pii.redrawn(values).collect()}
+    new = Counter(pii.surrogate(r["kind"], r["value"], again.get((r["kind"], r["value"]), 0), pii.KEY, r["form"]) for r in values.collect())
+    assert again and max(new.values()) == 1 and not set(new) & {r["value"] for r in values.collect()}
+
+
+def test_values_of_different_kinds_stay_distinct(spark):
+    """A password and a token of one shape, and one that another kind holds, in the whole corpus."""
+    values = spark.createDataFrame([("secret", f"{i:02d}", "") for i in range(60)] + [("ssn", f"{i:02d}", "") for i in range(60, 90)], "kind string, value string, form string")
     again = {(r["kind"], r["value"]): r["attempt"] for r in pii.redrawn(values).collect()}
-    new = Counter((r["kind"], pii.surrogate(r["kind"], r["value"], again.get((r["kind"], r["value"]), 0), pii.KEY)) for r in values.collect())
-    assert again and max(new.values()) == 1 and not set(new) & {(r["kind"], r["value"]) for r in values.collect()}
+    new = Counter(pii.surrogate(r["kind"], r["value"], again.get((r["kind"], r["value"]), 0), pii.KEY) for r in values.collect())
+    assert max(new.values()) == 1 and not set(new) & {r["value"] for r in values.collect()}
+
+
+def test_one_person_has_one_replacement(spark):
+    texts = ["Dr Ada Lane met us. Mrs Ada Lane left.", "Prof Ada Lane", "Mr Smith and MR SMITH, then SMITH", "Dr Jo Hill", "Sir Jo Hill", "MRS ADA LANE"]
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    ada, lane, again, family = re.fullmatch(r"Dr (\w+) (\w+) met us\. Mrs (\w+) (\w+) left\.", got[0]).groups()
+    assert (ada, lane) == (again, family) and ada.endswith(("a", "ia", "elle")) and got[1] == f"Prof {ada} {lane}" and got[5] == f"MRS {ada.upper()} {lane.upper()}"
+    smith = re.fullmatch(r"Mr (\w+) and MR (\w+), then (\w+)", got[2]).groups()
+    assert smith[0].upper() == smith[1] == smith[2] != "SMITH"
+    jo, hill = re.fullmatch(r"Dr (\w+) (\w+)", got[3]).groups()
+    assert got[4] == f"Sir {jo} {hill}" and jo.endswith(("us", "o", "an"))
+
+
+def test_more_secrets():
+    key = "abcDEF123ghiJKL456mno"
+    said = [f"ghp_{key}", f"sk-{key}", f"Authorization: Bearer {key}.x-y", "my password is hunter2.", f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n{key}==\n-----END RSA PRIVATE KEY-----"]
+    for text in said:
+        new, kinds = pii.replace_entities(f"see {text} there")
+        assert len(kinds) == 1 and key not in new and "hunter2" not in new and len(new) == len(text) + 10, text
+        assert re.sub(r"\w", "", new) == re.sub(r"\w", "", f"see {text} there")
+    one = pii.replace_entities(f"password={key} token={key}")[0]
+    assert re.fullmatch(r"password=(\w+) token=\1", one)
+    clean = ["the password is required", "sk-learn-and-other-packages", "a bearer of wonderful-and-long-news", "ghp_ alone"]
+    assert [pii.replace_entities(t)[0] for t in clean] == clean
 
 
 def test_surrogates_for_masks_and_used_up_formats(spark):
-    used = [("password", c) for c in "0123456789"] + [("password", c) for c in "abcdefghijklmnopqrstuvwxyz"] + [("password", c) for c in "+-./=_?"]
-    values = used + [("password", "****"), ("password", "..."), ("token", "--------"), ("email", "_@½.com"), ("phone", "+1|55555")]
+    used = [("secret", c) for c in "0123456789abcdefghijklmnopqrstuvwxyz+-./=_?"]
+    values = used + [("secret", "****"), ("secret", "..."), ("secret", "--------"), ("email", "_@½.com"), ("phone", "+1|55555")]
     attempts = dict.fromkeys(values, 0)
     for _ in range(40):  # as redrawn does, but sure to end
         new = {v: pii.surrogate(*v, attempts[v], pii.KEY) for v in values}

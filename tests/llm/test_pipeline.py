@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import queries
@@ -61,3 +62,16 @@ def test_stages(spark, planted):
     assert {p["doc_id"] for p in pieces} == set(left[3])
     again = corpus_pipeline.run(spark, folder)
     assert {(p["doc_id"], p["start"], p["ids_crc32"]) for p in again.collect()} == {(p["doc_id"], p["start"], p["ids_crc32"]) for p in pieces}
+
+
+def test_stages_carry_any_column(spark, planted):
+    """Columns with a dot, a backtick's neighbours, or names that operators use themselves."""
+    folder, texts = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in ("a.b", "n words", "kept", "_text", "_node", "quality"):
+        docs = docs.withColumn(name, F.col("doc_id") * 2)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        before = docs.count()
+        docs = corpus_pipeline.materialize(stage(spark, docs, folder), "wide")
+        assert docs.columns[-6:] == ["a.b", "n words", "kept", "_text", "_node", "quality"]
+        assert docs.filter("`a.b` <> doc_id * 2 OR quality <> doc_id * 2").count() == 0 and 0 < docs.count() <= before
