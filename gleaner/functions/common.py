@@ -86,6 +86,21 @@ def first_of(arr: Column) -> Column:
     return F.get(arr, F.lit(0))
 
 
+def one_per_key(pairs: Column, last: bool = False) -> Column:
+    """Of an array of (key, value), the first pair of each key, or the last, in the order of the array.
+
+    Sorted twice instead of compared with all others."""
+    sign = F.lit(-1 if last else 1)
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), (sign * i).alias("at"), p["value"].alias("value"))))
+
+    def led(sorted_: Column) -> Column:
+        kept = F.filter(sorted_, lambda p, i: (i == 0) | (F.get(sorted_, i - 1)["key"] != p["key"]))
+        back = F.array_sort(F.transform(kept, lambda p: F.struct((sign * p["at"]).alias("at"), p["key"].alias("key"), p["value"].alias("value"))))
+        return F.transform(back, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+
+    return let(placed, led)
+
+
 def sorted_set(arr: Column) -> Column:
     return F.array_sort(F.array_distinct(arr))
 

@@ -253,7 +253,7 @@ def organization_name(html: Column | str) -> Column:
     return F.coalesce(
         first_of(F.filter(names, lambda n: n.isNotNull())),
         H.title_tag(html),
-        blank_to_null(strip(H.meta_value(html, "property", "og:site_name"))),
+        blank_to_null(strip(H.meta_content(html, "property", "og:site_name"))),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
 from gleaner.functions.common import (
-    WS, blank_to_null, col, collapse, empty_strings, find_all, first_of, let, strip,
+    WS, blank_to_null, col, collapse, empty_strings, find_all, first_of, let, one_per_key, strip,
 )
 from gleaner.functions.text import html_to_text, html_unescape
 
@@ -34,14 +34,24 @@ def _unquote(value: Column) -> Column:
     return F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute inside the text of a tag; NULL if it is absent."""
+def _raw_attribute(tag: Column, name: str) -> Column:
+    """As it stands in the source; NULL if it is absent."""
     raw = F.regexp_extract(
         F.concat(F.lit(" "), tag),
         rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)",
         1,
     )
-    return html_unescape(_unquote(blank_to_null(raw)))
+    return _unquote(blank_to_null(raw))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute inside the text of a tag; NULL if it is absent."""
+    return html_unescape(_raw_attribute(tag, name))
+
+
+def attributes(tag: Column, *names: str) -> Column:
+    """Values of several attributes of a tag, as an array in the order of the names."""
+    return F.transform(F.array(*[_raw_attribute(tag, name) for name in names]), html_unescape)
 
 
 def _element_text(inner: Column) -> Column:
@@ -86,39 +96,38 @@ def outlinks(html: Column | str) -> Column:
     )
 
 
+def _metas(html: Column | str) -> Column:
+    """(name, property, content) of every meta tag, in order."""
+    return F.transform(
+        find_all(html, META_TAG, 1),
+        lambda tag: let(
+            attributes(tag, "name", "property", "content"),
+            lambda v: F.struct(v[0].alias("name"), v[1].alias("property"), v[2].alias("content")),
+        ),
+    )
+
+
 def meta_pairs(html: Column | str) -> Column:
     """(name or property in lower case, content) of every meta tag with content, in order."""
     pairs = F.transform(
-        find_all(html, META_TAG, 1),
-        lambda tag: F.struct(
-            F.lower(F.coalesce(attribute(tag, "name"), attribute(tag, "property"), F.lit(""))).alias("key"),
-            attribute(tag, "content").alias("value"),
-        ),
+        _metas(html),
+        lambda m: F.struct(F.lower(F.coalesce(m["name"], m["property"], F.lit(""))).alias("key"), m["content"].alias("value")),
     )
     return F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != "")
 
 
 def page_meta(html: Column | str) -> Column:
     """Meta tags as a map; the last tag of a name wins."""
-    return let(
-        meta_pairs(html),
-        lambda pairs: F.map_from_entries(
-            F.filter(
-                pairs,
-                lambda p, i: ~F.exists(
-                    F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"]
-                ),
-            )
-        ),
-    )
+    return F.map_from_entries(one_per_key(meta_pairs(html), last=True))
 
 
-def meta_value(html: Column | str, attr: str, name: str) -> Column:
+def _meta_content(metas: Column, attr: str, name: str) -> Column:
     """Content of the first meta tag whose attribute ``attr`` equals ``name``."""
-    tags = F.filter(
-        find_all(html, META_TAG, 1), lambda tag: F.coalesce(attribute(tag, attr), F.lit("")) == name
-    )
-    return attribute(first_of(tags), "content")
+    return first_of(F.filter(metas, lambda m: F.coalesce(m[attr], F.lit("")) == name))["content"]
+
+
+def meta_content(html: Column | str, attr: str, name: str) -> Column:
+    return let(_metas(html), lambda m: _meta_content(m, attr, name))
 
 
 def title_tag(html: Column | str) -> Column:
@@ -131,8 +140,13 @@ def page_title(html: Column | str) -> Column:
     heading = F.regexp_extract(strip_chrome(html), H1, 1)
     return F.coalesce(
         title_tag(html),
-        blank_to_null(strip(meta_value(html, "property", "og:title"))),
-        blank_to_null(strip(meta_value(html, "name", "title"))),
+        let(
+            _metas(html),
+            lambda m: F.coalesce(
+                blank_to_null(strip(_meta_content(m, "property", "og:title"))),
+                blank_to_null(strip(_meta_content(m, "name", "title"))),
+            ),
+        ),
         blank_to_null(_element_text(heading)),
         F.lit(""),
     )
@@ -169,12 +183,7 @@ def microdata(html: Column | str) -> Column:
     def properties(tag: Column) -> Column:
         names = F.transform(find_all(tag, ATTRIBUTE, 1), F.lower)
         values = F.transform(find_all(tag, ATTRIBUTE, 2), lambda v: html_unescape(_unquote(v)))
-        pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
-        first_only = F.filter(
-            pairs,
-            lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda e: e["key"] == p["key"]),
-        )
-        return F.map_from_entries(first_only)
+        return F.map_from_entries(one_per_key(F.arrays_zip(names.alias("key"), values.alias("value"))))
 
     html = col(html)
     # most pages have none: a substring search is much cheaper than looking into every tag
@@ -186,11 +195,8 @@ def microdata(html: Column | str) -> Column:
 
 
 def canonical_href(html: Column | str) -> Column:
-    tags = F.filter(
-        find_all(html, LINK_TAG, 1),
-        lambda tag: F.lower(F.coalesce(attribute(tag, "rel"), F.lit(""))) == "canonical",
-    )
-    return attribute(first_of(tags), "href")
+    links = F.transform(find_all(html, LINK_TAG, 1), lambda tag: attributes(tag, "rel", "href"))
+    return first_of(F.filter(links, lambda v: F.lower(F.coalesce(v[0], F.lit(""))) == "canonical"))[1]
 
 
 def canonical_url(html: Column | str, final_url: Column | str) -> Column:

@@ -55,24 +55,16 @@ def html_unescape(c: Column | str) -> Column:
     name that needs none (``&notit;``)."""
     names = F.str_to_map(F.lit(_ENTITY_TEXT), F.lit("\x01"), F.lit("\x02"))
 
+    # this tree stands wherever an attribute or a text is read: each part of it is there once
     def char(ref: Column) -> Column:
         body = F.rtrim(ref, F.lit(";"))
-        hexed = F.conv(F.substr(body, F.lit(3)), 16, 10)
-        return (
-            F.when(ref.rlike("^#[0-9]"), _char(F.substr(body, F.lit(2)).try_cast("bigint")))
-            .when(ref.startswith("#"), _char(hexed.try_cast("bigint")))
-            .otherwise(F.try_element_at(names, body))
-        )
+        number = F.when(ref.rlike("^#[0-9]"), F.substr(body, F.lit(2))).otherwise(F.conv(F.substr(body, F.lit(3)), 16, 10))
+        return F.when(ref.startswith("#"), _char(number.try_cast("bigint"))).otherwise(F.try_element_at(names, body))
 
     def piece(s: Column, i: Column) -> Column:
-        def decoded(ref: Column) -> Column:
-            rest = F.substr(s, F.length(ref) + F.lit(1))
-            return F.when(ref != "", F.concat(char(ref), rest))
-
-        bare = F.regexp_extract(s, rf"^(?:{_BARE})", 0)
-        return F.when(i == 0, s).otherwise(
-            F.coalesce(let(F.regexp_extract(s, REFERENCE, 0), decoded), let(bare, decoded), F.concat(F.lit("&"), s))
-        )
+        tried = F.array(F.regexp_extract(s, REFERENCE, 0), F.regexp_extract(s, rf"^(?:{_BARE})", 0))
+        decoded = F.transform(tried, lambda ref: F.when(ref != "", F.concat(char(ref), F.substr(s, F.length(ref) + F.lit(1)))))
+        return F.when(i == 0, s).otherwise(F.coalesce(F.get(F.filter(decoded, lambda d: d.isNotNull()), F.lit(0)), F.concat(F.lit("&"), s)))
 
     return let(
         col(c),

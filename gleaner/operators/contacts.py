@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import contacts as C, fixed, html as H, urls as U
 from gleaner.functions.common import col
 from gleaner.operators.skew import salted_join
+from gleaner.session import materialize
 
 
 def _tagged(kind: str, values: Column) -> Column:
@@ -68,9 +69,10 @@ def harvest_contacts(pages: DataFrame, url: str = "url", html: str = "html") ->
 
     The linked pages are looked up in the same snapshot. Contacts are extracted before the join, so
     the join moves addresses and not page sources; the rows stay long, so a base with very many
-    contacts never becomes one group.
+    contacts never becomes one group. Edges are written once and joined from there: page sources are read
+    twice, for links and for contacts.
     """
-    edges = contact_links(pages, url, html)
+    edges = materialize(contact_links(pages, url, html), "contact-links")
     found = F.concat(
         _tagged("email", C.extract_emails(html, deobfuscate=True)),
         _tagged("phone", C.extract_phones(html, deobfuscate=True)),

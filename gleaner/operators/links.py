@@ -55,8 +55,10 @@ def reachable(
     fetched = pages.filter(F.col("status_code") == 200).select(F.col("url").alias("dst_url"))
     if domain_rule:
         edges = edges.filter(F.col("dst_url").contains(domain_rule))
+    # written before they are joined: what finds links in page sources runs once
+    stored = materialize(edges.select("src_url", "dst_url").distinct(), "links")
     usable = materialize(
-        salted_join(edges.select("src_url", "dst_url").distinct(), fetched, "dst_url", "left_semi").select(
+        salted_join(stored, fetched, "dst_url", "left_semi").select(
             F.col("src_url").alias("url"), "dst_url"
         ),
         "edges",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed, html as H, text as T, urls as U
+from gleaner.session import materialize
 
 
 def filter_html(pages: DataFrame, content_types: Iterable[str] = fixed.HTML_CONTENT_TYPES) -> DataFrame:
@@ -78,18 +79,40 @@ def page_signals(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     )
 
 
-def first_by_canonical(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+#: pages that may be sent to every task to be left out
+MOST_COPIES = 1_000_000
+
+
+def first_by_canonical(pages: DataFrame, url: str = "url", html: str = "html", most: int = MOST_COPIES) -> DataFrame:
     """One page per canonical URL: the one whose own URL comes first, pages without a URL last.
 
-    The choice is one minimum combined on the map side, so a canonical URL shared by very many copies
-    costs one row per task. A URL stored more than once keeps its version of least hash, rows that repeat
-    stay once. Pages with neither a URL nor a canonical link are one group.
+    A URL stored more than once keeps its version of least hash, rows that repeat stay once. Pages with neither a
+    URL nor a canonical link are one group. The choice is made on hashes of the rows, as a minimum combined on the
+    map side. Up to ``most`` pages that are not chosen are left out by a broadcast of their hashes, so page sources
+    are read twice and never shuffled; beyond that, pages meet the hashes in a join. Pages that repeat a chosen one
+    are brought together, no others.
     """
     hashed = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in pages.schema]
-    order = F.struct(F.col(url).isNull().alias("none"), F.col(url).alias("url"), F.xxhash64(html).alias("version"), F.xxhash64(*hashed).alias("row"))
-    keyed = pages.select(H.canonical_url(html, url).alias("canonical_url"), F.struct(*[f"`{c}`" for c in pages.columns]).alias("_page"), order.alias("_order"))
-    best = keyed.groupBy("canonical_url").agg(F.min_by("_page", "_order").alias("_page"))
-    return best.select(*[F.col(f"_page.`{c}`").alias(c) for c in pages.columns], "canonical_url")
+    keyed = pages.withColumns({"canonical_url": H.canonical_url(html, url), "_h1": F.xxhash64(*hashed), "_h2": F.xxhash64(F.lit(1), *hashed)})
+    row = [F.col(url).isNull().alias("_none"), F.col(url).alias("_url"), F.xxhash64(html).alias("_version"), F.col("_h1"), F.col("_h2")]
+    rows = materialize(keyed.select("canonical_url", *row).groupBy("canonical_url", "_none", "_url", "_version", "_h1", "_h2").agg(F.count("*").alias("_n")), "canonical")
+    best = rows.groupBy("canonical_url").agg(F.min(F.struct("_none", "_url", "_version", "_h1", "_h2")).alias("_best")).withColumnRenamed("canonical_url", "_c")
+    judged = materialize(
+        rows.join(best, F.col("canonical_url").eqNullSafe(F.col("_c")))
+        .select("_h1", "_h2", "_n", ((F.col("_h1") == F.col("_best._h1")) & (F.col("_h2") == F.col("_best._h2"))).alias("_chosen"))
+        .filter("NOT _chosen OR _n > 1"),
+        "copies",
+    )
+    left_out, repeated = judged.filter("NOT _chosen").select("_h1", "_h2"), judged.filter("_chosen").select("_h1", "_h2")
+    kept = keyed.join(F.broadcast(left_out) if left_out.count() <= most else left_out, ["_h1", "_h2"], "left_anti")
+    n = repeated.count()
+    if n:
+        repeated = F.broadcast(repeated) if n <= most else repeated
+        once = kept.join(repeated, ["_h1", "_h2"], "left_semi").groupBy("_h1", "_h2").agg(F.any_value(F.struct(*[f"`{c}`" for c in pages.columns], "canonical_url")).alias("_page"))
+        once = once.select(*[F.col(f"_page.`{c}`").alias(c) for c in [*pages.columns, "canonical_url"]])
+        kept = kept.join(repeated, ["_h1", "_h2"], "left_anti")
+        return kept.select(*[F.col(f"`{c}`") for c in pages.columns], "canonical_url").union(once)
+    return kept.select(*[F.col(f"`{c}`") for c in pages.columns], "canonical_url")
 
 
 class _MainText(HTMLParser):

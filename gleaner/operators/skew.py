@@ -11,13 +11,17 @@ HOT_SHARE = 0.001
 def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold more than ``share`` of all rows, and over how many tasks each is to be spread.
 
-    There can be at most ``1 / share`` of them, whatever the data: the result may be broadcast.
-    Counting needs the key column only and sends one partial count per key and task.
+    One pass with a sketch of bounded size, which has every such key; its counts are estimates, good enough to choose
+    a number of tasks. There can be at most ``1 / share`` keys, whatever the data: the result may be broadcast.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.filter(F.col("_n") > total * F.lit(share))
-    return hot.select(key, F.ceil(F.col("_n") / (total * F.lit(share))).cast("int").alias("_salts"))
+    most = int(1 / max(share, 1e-5))
+    # a sketch of t items is wrong by less than 4 / t of all rows
+    tracked = min(1_000_000, 20 * most)
+    held = F.col(key).isNotNull()
+    sketch = rows.filter(held).agg(F.count("*").alias("_total"), F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(tracked)).alias("_top"))
+    top = sketch.select("_total", F.explode("_top").alias("_t")).select("_total", F.col("_t.item").alias(key), F.col("_t.count").alias("_n"))
+    hot = top.filter(F.col("_n") > F.col("_total") * F.lit(share))
+    return hot.select(key, F.ceil(F.col("_n") / (F.col("_total") * F.lit(share))).cast("int").alias("_salts"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", salts: int | None = None, share: float = HOT_SHARE) -> DataFrame:

@@ -347,3 +347,15 @@ def test_one_page_by_canonical_with_null_urls_and_repeats(spark):
     found = sorted(((r["canonical_url"] or "", r["url"], r["page_id"]) for r in got.collect()))
     assert [f[:2] for f in found] == [("", None), ("http://c/1", "http://a"), ("http://c/2", None), ("http://d", "http://d")]
     assert found[0][2] in (5, 6) and [f[2] for f in found[1:3]] == [3, 4] and found[3][2] in (7, 8)
+
+
+def test_hot_keys_come_from_a_sketch(spark):
+    """Every key above the share, whatever stands beside them; no count of all keys."""
+    n = 100_000
+    key = F.when(F.col("id") % 10 < 3, "hot").when(F.col("id") % 10 == 3, F.concat(F.lit("warm"), F.col("id") % 40)).otherwise(F.concat(F.lit("k"), "id"))
+    rows = spark.range(n).withColumn("key", F.when(F.col("id") % 97 > 0, key))
+    got = {r["key"]: r["_salts"] for r in hot_keys(rows, "key").collect()}
+    assert set(got) == {"hot"} | {f"warm{k}" for k in (3, 13, 23, 33)} and 290 <= got["hot"] <= 320
+    plan = hot_keys(rows, "key")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    assert hot_keys(rows.limit(0), "key").collect() == []

@@ -35,10 +35,30 @@ def test_row_local_jobs_scan_once_and_never_shuffle(pages, docs, job):
 
 
 def test_python_runs_only_where_stated(pages, docs):
-    for df in (P.parse_pages(pages), XC.extract_contacts(docs), L.paired_leads(docs), XL.outlinks(pages)):
+    for df in (P.parse_pages(pages), XC.extract_contacts(docs), L.paired_leads(docs), XL.outlinks(pages), L.classify_documents(docs)):
         assert "Python" not in plan(df)
     assert "MapInPandas" in plan(P.main_content(pages))
-    assert "BatchEvalPython" not in plan(L.classify_documents(docs))
+
+
+def html_scans(df):
+    return sum("html:" in part.split(">")[0] for part in plan(df).split("ReadSchema: struct<")[1:])
+
+
+def test_page_sources_are_not_shuffled(spark, pages):
+    """What is chosen or joined are hashes, addresses and contacts."""
+    chosen = P.first_by_canonical(pages)
+    assert html_scans(chosen) == 1 and "hashpartitioning" not in plan(chosen)
+    linked = F.concat(F.lit("<link rel=canonical href=http://c/"), F.col("page_id") % 7, F.lit(">"), "html")
+    copies = pages.withColumn("html", linked)
+    near, far = (P.first_by_canonical(copies.union(copies.limit(3)), most=n) for n in (10**6, 0))
+    assert near.count() == 7 and sorted(near.collect()) == sorted(far.collect())  # beyond the bound: a join, the same pages
+    assert html_scans(XC.harvest_contacts(pages)) == 1
+
+
+def test_analysed_plans_stay_small(pages):
+    """A tree that decodes text is repeated with each use: its size bounds the time to plan."""
+    text = P.parse_pages(pages)._jdf.queryExecution().analyzed().treeString()
+    assert len(text) < 400_000
 
 
 def test_page_source_is_not_read_without_need(pages):

@@ -88,7 +88,7 @@ def test_hot_block(spark):
     """A third of all leads in one block under a few names: names are compared, not leads."""
     leads = spark.range(3000).selectExpr(
         "concat('l', lpad(id, 5, '0')) AS id", "concat('Gasthaus zum Ochsen', elt(cast(id % 3 as int) + 1, '', 'n', ' e')) AS business_name",
-        "cast(NULL AS string) AS email", "cast(NULL AS string) AS phone", "if(id % 3 = 0, '1 Main', concat(id, ' Main')) AS address", "cast(NULL AS string) AS website",
+        "cast(NULL AS string) AS email", "cast(NULL AS string) AS phone", "if(id % 3 = 0, 'Hot Main', concat(id, ' Main')) AS address", "cast(NULL AS string) AS website",
     )
     known = B.fuzzy_business_ids(leads)
     assert known.groupBy("business_id").count().count() == 3
