@@ -60,18 +60,19 @@ _IS = r"""["']?[ \t]{0,8}[:=][ \t]{0,8}["']?"""
 _IP4 = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}"
 _HEX4 = r"[0-9a-fA-F]{1,4}"
 _GENDER = {spelt: g for g, ts in TITLES.items() for t in ts for spelt in (t, t.upper())}
+_INITIALS = "".join(sorted({t[0] for t in _GENDER}))
 _TITLE = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
 #: prefixes of keys that services hand out; a replacement keeps them
 _PREFIX = r"(?:gh[opsru]_|github_pat_|glpat-|sk-|pk-|xox[abprs]-|AIza)"
 _PATTERN = re.compile(
     rf"""
     (?P<email>(?<![\w.%+-])[\w%+-][\w.%+-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+)
-    |(?:(?<![^\W_])(?i:password|passwd|pwd)|(?<=[a-z0-9])(?:Password|Passwd|Pwd)){_IS}(?P<password>[^\s"',;]+)
-    |(?:(?<![^\W_])(?i:token|secret(?:[_-]?key)?|api[_-]?key|access[_-]?key)|(?<=[a-z0-9])(?:Token|Secret(?:Key)?|ApiKey|AccessKey)){_IS}(?P<token>[\w+/=.-]{{8,}})
+    |(?=[pP])(?:(?<![^\W_])(?i:password|passwd|pwd)|(?<=[a-z0-9])(?:Password|Passwd|Pwd)){_IS}(?P<password>[^\s"',;]+)
+    |(?=[aAsStT])(?:(?<![^\W_])(?i:token|secret(?:[_-]?key)?|api[_-]?key|access[_-]?key)|(?<=[a-z0-9])(?:Token|Secret(?:Key)?|ApiKey|AccessKey)){_IS}(?P<token>[\w+/=.-]{{8,}})
     |-----BEGIN[ ](?:[A-Z]+[ ])?PRIVATE[ ]KEY-----(?P<block>.*?)(?:-----END|\Z)
-    |(?<![^\W_])(?i:bearer)[ ]+(?=[\w+/=.~-]*\d)(?P<bearer>[\w+/=.~-]{{16,}})
-    |(?<![^\W_])(?i:password|passphrase|passwd|pwd)[ ](?i:is|was)[ ]["']?(?=[^\s"',;]*[^\W\d_]?[\d@#$%^&*_+=])(?P<said>[^\s"',;]*[^\s"',;.!?])
-    |(?<![\w-])(?P<service>{_PREFIX}(?=[\w-]*\d)[\w-]{{16,}})
+    |(?=[bB])(?<![^\W_])(?i:bearer)[ ]+(?=[\w+/=.~-]*\d)(?P<bearer>[\w+/=.~-]{{16,}})
+    |(?=[pP])(?<![^\W_])(?i:password|passphrase|passwd|pwd)[ ](?i:is|was)[ ]["']?(?=[^\s"',;\d]*\d)(?P<said>[^\s"',;]*[^\s"',;.!?])
+    |(?=[Agpsx])(?<![\w-])(?P<service>{_PREFIX}(?=[\w-]*\d)[\w-]{{16,}})
     |(?<![\w])(?P<access>(?:AKIA|ASIA)[0-9A-Z]{{16}}){_ENDS}
     |(?<![\w])(?P<hex>(?=[a-fA-F]*[0-9])[0-9a-fA-F]{{32,}}){_ENDS}
     |(?<![\w.])(?P<ip>{_IP4})(?!\.?\w)
@@ -86,12 +87,12 @@ _PATTERN = re.compile(
       |(?<![\w.-])1[ .-](?:\(\d{{3}}\)[ ]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?![\w-]|\.\w)
       |(?<![\w.-])0\d(?:[ .-]\d{{2}}){{4}}(?![\w-]|\.\w)
       |(?<![\w.-])0\d{{2,4}}[ ]\d{{3,4}}[ ]\d{{3,4}}(?![\w-]|\.\w))
-    |(?<![\w])(?P<title>{_TITLE})\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,3}})
+    |(?=[{_INITIALS}])(?<![\w])(?P<title>{_TITLE})\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME}){{0,3}})
     """,
     re.VERBOSE | re.DOTALL,
 )
 #: what every entity has: without any of these a text is left alone
-_HINT = re.compile(rf"[0-9@:=#$%^&*_+]|(?<![\w])(?:{_TITLE})\.?[ ]")
+_HINT = re.compile(rf"[0-9@:=]|-----BEGIN|(?=[{_INITIALS}])(?<![\w])(?:{_TITLE})\.?[ ]")
 _CODE = re.compile(rf"[17]|{fixed.CALLING_CODES.removeprefix('^')}|\d{{1,3}}")
 _SECRETS = {"password", "token", "block", "bearer", "said", "service"}
 _DIGITS = {"card", "phone", "ssn", "ip"}
