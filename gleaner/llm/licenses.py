@@ -3,9 +3,11 @@
 The templates (short licence notices with mandatory key phrases) are indexed by word and position. How rare
 each licence word is in the corpus is counted over all documents. Every key phrase is looked up by its rarest
 word: each place of that word in a file, less the word's position in the phrase, is a place where the
-phrase may start, and is kept if all its words stand there. For whole templates the postings of the rare
-words vote for the place where the template starts; where the votes of a template meet, its score is the share
-of its rarity found there. A template's label needs all of its key phrases.
+phrase may start, and is kept if all its words stand there. For whole templates the places of their rarest words
+are intersected by relative position: each says where the template would start, and those that agree within a few words
+hold a share of the template's rarity. A template is found where that share is ``AGREED`` at least and all of its key
+phrases stand in the file; key phrases alone, or words in another order, are no licence. The base phrases label on
+their own.
 
 Defined cases: a null or empty text has no words and score 0; words are whole, so ``mitigate`` is not ``mit``;
 repeated rows get equal results; ties between templates are both labelled; extra columns are not looked at.
@@ -65,7 +67,7 @@ TEMPLATES = {
     ),
     "cc-by": ("licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4"]),
     "cc-by-nc": ("licensed under a creative commons attribution noncommercial license", ["creative commons attribution noncommercial"]),
-    "cc0": ("this work is dedicated to the public domain under creative commons zero cc0", ["cc0 1 0"]),
+    "cc0": ("this work is dedicated to the public domain under creative commons zero cc0", ["creative commons zero"]),
     "unlicense": (
         "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
         "distribute this software",
@@ -76,6 +78,8 @@ TEMPLATES = {
 ANCHORS = 8
 #: words by which votes of one template may differ and still meet
 SLACK = 4
+#: share of a template's rarity that agrees on its place
+AGREED = 0.75
 _BITS = 16
 
 
@@ -121,7 +125,11 @@ class Index:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.postings = [postings.get(vocabulary[i], []) for i in order]
-        self.votes = [votes.get(vocabulary[i], []) for i in order]
+        of_word = [votes.get(vocabulary[i], []) for i in order]
+        self.first_vote = np.concatenate(([0], np.cumsum([len(v) for v in of_word])))
+        flat = [x for v in of_word for x in v]
+        self.vote_template, self.vote_offset = (np.array([x[k] for x in flat], np.int64) for k in (0, 1))
+        self.vote_weight = np.array([x[2] for x in flat], float)
         self.table = np.zeros(1 << _BITS, dtype=bool)
         self.table[self.hashes >> np.uint64(64 - _BITS)] = True
 
@@ -150,29 +158,23 @@ class Index:
     def alignments(self, doc: np.ndarray, place: np.ndarray, which: np.ndarray, docs: int) -> np.ndarray:
         """For every text and template the largest share of its rarity whose places agree."""
         best = np.zeros((docs, len(self.names)))
-        rows = [(d, t, p - i, i, w) for p, d, v in zip(place, doc[place], which) for t, i, w in self.votes[v]]
-        if not rows:
+        count = np.diff(self.first_vote)[which]
+        row = np.repeat(np.arange(len(place)), count)
+        if not len(row):
             return best
-        d, t, start, i, w = map(np.array, zip(*rows))
-        order = np.lexsort((start, t, d))
-        d, t, start, i, w = d[order], t[order], start[order], i[order], w[order]
-        lo = 0
-        held: dict[int, list[float]] = {}
-        mass = 0.0
-        for hi in range(len(d)):
-            while lo < hi and ((d[lo], t[lo]) != (d[hi], t[hi]) or start[hi] - start[lo] > SLACK):
-                held[i[lo]][0] -= 1
-                if held[i[lo]][0] == 0:
-                    mass -= held.pop(i[lo])[1]
-                lo += 1
-            if i[hi] in held:
-                held[i[hi]][0] += 1
-            else:
-                held[i[hi]] = [1, w[hi]]
-                mass += w[hi]
-            share = mass / self.mass[t[hi]]
-            if share > best[d[hi], t[hi]]:
-                best[d[hi], t[hi]] = share
+        vote = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first_vote[which], count)
+        t, i = self.vote_template[vote], self.vote_offset[vote]
+        # a start counts for the windows that begin at it or up to SLACK words before, each word of a template once
+        key = np.stack([np.tile(x, SLACK + 1) for x in (doc[place][row], t, i)])
+        window = np.concatenate([place[row] - i - k for k in range(SLACK + 1)])
+        d, t, i, window, vote = key[0], key[1], key[2], window, np.tile(vote, SLACK + 1)
+        order = np.lexsort((i, window, t, d))
+        d, t, i, window, vote = d[order], t[order], i[order], window[order], vote[order]
+        other = np.ones(len(d), bool)
+        other[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (window[1:] != window[:-1])
+        once = other | np.concatenate(([True], i[1:] != i[:-1]))
+        mass = np.add.reduceat(np.where(once, self.vote_weight[vote], 0.0), np.flatnonzero(other))
+        np.maximum.at(best, (d[other], t[other]), mass / self.mass[t[other]])
         return best.clip(0, 1)
 
 
@@ -234,7 +236,7 @@ def _scan(index: Index):
             labels = [set(b) for b in base]
             score = shares.max(axis=1) * 0.9
             for t, (label, keys) in enumerate(index.needs):
-                for d in np.flatnonzero(has[:, keys].all(axis=1)):
+                for d in np.flatnonzero(has[:, keys].all(axis=1) & (shares[:, t] >= AGREED)):
                     labels[d].add(label)
             score = np.where([bool(x) for x in labels], np.maximum(score, 0.95), score)
             score = np.where(n_base > 0, 1.0, score)
