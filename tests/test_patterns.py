@@ -157,6 +157,7 @@ def test_whitespace(one, texts):
 ])
 def test_keywords(one, text, words):
     assert one(K.keywords("t"), [text]) == [words]
+    assert one(K.keyword_runs("t"), [text]) == one(K.keyword_counts("t"), [text])
 
 
 HOSTILE = {
@@ -175,7 +176,7 @@ def test_hostile_text_stays_linear(one, kind):
             C.extract_emails("t", True), C.extract_phones("t", True), C.business_name("t"), C.first_address("t"), C.street_addresses("t"),
             C.physical_addresses("t"), C.role_person("t"), C.job_titles("t"), C.email_phone_pairs("t"), T.html_to_text("t"),
             T.clean_whitespace("t"), H.outlinks("t"), H.anchors("t"), H.page_title("t"), H.jsonld_items("t"),
-            H.has_contact_form("t"), H.page_meta("t"), H.microdata("t"), K.keyword_counts("t"), Q._robots_groups("t"),
+            H.has_contact_form("t"), H.page_meta("t"), H.microdata("t"), K.keyword_runs("t"), Q._robots_groups("t"),
         ),
         [HOSTILE[kind]],
     )
@@ -186,7 +187,7 @@ def test_hostile_text_stays_linear(one, kind):
     (lambda: H.page_meta("t"), "<meta name=n{0} content=c>"), (lambda: H.page_meta("t"), "<meta name=same content=c{0}>"),
     (lambda: H.microdata("t"), "<p itemtype=x a{0}=b>"), (lambda: F.size(H.microdata("t")[0]["properties"]), " a{0}=b"),
     (lambda: Q._robots_groups("t"), "User-agent: a{0}\nDisallow: /{0}\n"), (lambda: Q._robots_groups("t"), "User-agent: a{0}\n"),
-    (lambda: K.keyword_counts("t"), "word{0} "), (lambda: T.html_unescape("t"), "&amp;{0}&eacute;"), (lambda: H.page_title("t"), "<nav>{0}<p>"), (lambda: C.email_phone_pairs("t"), "a{0}@b.co "),
+    (lambda: K.keyword_runs("t"), "word{0} "), (lambda: T.html_unescape("t"), "&amp;{0}&eacute;"), (lambda: H.page_title("t"), "<nav>{0}<p>"), (lambda: C.email_phone_pairs("t"), "a{0}@b.co "),
 ])
 def test_time_grows_with_the_text(one, column, piece):
     """Four times the text, far less than sixteen times the time."""
