@@ -97,7 +97,7 @@ def test_live_digests_come_and_go(spark, tmp_path):
     draw = random.Random(8)
     index = DigestIndex(spark, str(tmp_path / "live"), shards=4)
     live = []
-    for step in range(3):
+    for step in range(2):
         new = [(step * 100 + k, f"text {draw.randint(0, 30)}" + " " * draw.randint(0, 2)) for k in range(40)]
         index.insert(table(spark, new))
         live += new
