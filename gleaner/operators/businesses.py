@@ -68,7 +68,8 @@ def fuzzy_business_ids(leads: DataFrame, share: float = SHARE) -> DataFrame:
     """
     named = materialize(name_blocks(leads).groupBy("block", "text").agg(F.min("id").alias("id")), "names")
     pairs = similar_pairs(named, share)
-    a, b = (named.select("block", F.col("text").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab")
+    # merged: files of names are far smaller than the rows a broadcast of them would hold
+    a, b = (named.select("block", F.col("text").alias(c), F.col("id").alias(f"id_{c}")).hint("merge") for c in "ab")
     similar = pairs.join(a, ["block", "a"]).join(b, ["block", "b"]).filter("id_a <> id_b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return _tied(leads, _ties(_keys(leads)).union(similar))
 

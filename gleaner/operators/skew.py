@@ -32,6 +32,9 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     joined as they are. All hot keys together are spread over ``2 / share`` tasks at most; ``salts`` sets
     the number for each instead. A hash gives the same salt when a task is retried, which a random
     number does not.
+
+    Neither side is broadcast, however small its files are: sizes are those of compressed columns, and repeated rows
+    that take a few MB there have filled the driver.
     """
     hot = hot_keys(left, on, share)
     hot = F.broadcast(hot if salts is None else hot.withColumn("_salts", F.lit(salts)))
@@ -41,4 +44,4 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     spread = left.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
     repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return spread.join(repeated, [on, "_salt"], how).drop("_salt")
+    return spread.join(repeated.hint("merge"), [on, "_salt"], how).drop("_salt")

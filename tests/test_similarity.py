@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import businesses as B, similarity as S
+from gleaner.operators import businesses as B, similarity as S, skew
 
 
 def distance(a, b):
@@ -93,3 +93,12 @@ def test_hot_block(spark):
     known = B.fuzzy_business_ids(leads)
     assert known.groupBy("business_id").count().count() == 3
     assert B.name_blocks(leads).groupBy("block", "text").count().count() == 2001
+
+
+def test_only_hot_keys_are_broadcast(spark):
+    """Grams and names take little room in a file and much in memory: small files are no reason to broadcast them."""
+    left, right = (spark.range(50).select((F.col("id") % 5).alias("k"), F.col("id").alias(c)) for c in "xy")
+    joined = skew.salted_join(left, right, "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 2  # of the hot keys, with either side
+    assert joined.count() == 500
