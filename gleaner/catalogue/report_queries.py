@@ -150,9 +150,10 @@ def _(spark, sf):
 
 # --- streams -------------------------------------------------------------------------------
 def _stream(spark, sf, name):
-    """A table of the test folder as a file stream."""
+    """A table of the test folder, a file or a folder of files, as a file stream."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # as a pattern: a stream takes a plain path for a folder, and a file fails
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _batches(df, order, files: int = 3):

@@ -252,3 +252,17 @@ def test_json_keeps_text_and_nulls(spark, tmp_path):
     sinks.export_json(spark.createDataFrame([("é", None)], "a string, b string"), str(tmp_path / "json"))
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "json").glob("*.json"))
     assert text.strip() == '{"a":"é","b":null}'
+
+
+def test_registered_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    from gleaner.catalogue import QUERIES
+
+    one = spark.createDataFrame([(1, "http://s/1", "<p>write to a@b.org</p>"), (2, "http://s/2", "<p>or to c@d.org</p>")], "page_id long, url string, html string")
+    (tmp_path / "folder").mkdir()
+    one.repartition(2).write.parquet(str(tmp_path / "folder" / "pages.parquet"))
+    (tmp_path / "file").mkdir()
+    one.coalesce(1).write.parquet(str(tmp_path / "part"))
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "file" / "pages.parquet")
+    for kind in ("folder", "file"):
+        rows = QUERIES["stream_incremental_leads"](spark, str(tmp_path / kind)).collect()
+        assert sorted((r["source_url"], r["email"]) for r in rows) == [("http://s/1", "a@b.org"), ("http://s/2", "c@d.org")]
