@@ -88,12 +88,13 @@ class Tables:
         rest = [c for c in rows.columns if c != "id"]
         order = [-F.col(c) if c == "confidence_score" else F.col(c) for c in ("confidence_score", "created_at") if c in rest]
         first = F.min_by(F.struct(*rest), F.struct(*order, F.to_json(F.struct(*rest))))
-        fresh = rows.groupBy("id").agg(first.alias("_row")).select("id", "_row.*").select(*rows.columns)
         with staged(self.spark):
             if self.exists(table):
-                fresh = materialize(fresh, "fresh")
-                fresh = fresh.join(self.stored_ids(table, fresh), "id", "left_anti")
-            self.append(table, fresh)
+                # ids are met first: rows that are stored already are neither shuffled nor written for that
+                ids = materialize(rows.select("id").distinct(), "ids")
+                new = materialize(ids.join(self.stored_ids(table, ids), "id", "left_anti"), "new-ids").withColumnRenamed("id", "_new")
+                rows = rows.join(new, F.col("id").eqNullSafe(F.col("_new")), "left_semi")
+            self.append(table, rows.groupBy("id").agg(first.alias("_row")).select("id", "_row.*").select(*rows.columns))
 
     def write_jdbc(self, table: str, url: str, **options) -> None:
         self.read(table).write.jdbc(url, table, mode="append", properties={k: str(v) for k, v in options.items()})

@@ -266,3 +266,18 @@ def test_registered_stream_reads_a_file_and_a_folder(spark, tmp_path):
     for kind in ("folder", "file"):
         rows = QUERIES["stream_incremental_leads"](spark, str(tmp_path / kind)).collect()
         assert sorted((r["source_url"], r["email"]) for r in rows) == [("http://s/1", "a@b.org"), ("http://s/2", "c@d.org")]
+
+
+def test_replay_stages_ids_only(spark, tmp_path, monkeypatch):
+    staged_columns = []
+    monkeypatch.setattr(sinks, "materialize", lambda df, label: staged_columns.append(df.columns) or materialize(df, label))
+    store = sinks.Tables(spark, str(tmp_path / "t"))
+    schema = "id string, lead_id string, final_score double"
+    first = spark.createDataFrame([("aa1", "x", 1.0), ("aa1", "w", 1.0), (None, "n", 0.0)], schema)
+    more = first.unionByName(spark.createDataFrame([("ab2", "y", 2.0), ("aa3", "z", 3.0)], schema)).filter("id IS NOT NULL")
+    store.append_new("lead_score", first)
+    for _ in range(2):
+        store.append_new("lead_score", more)
+    rows = sorted((r["id"] or "", r["lead_id"]) for r in store.read("lead_score").collect())
+    assert rows == [("", "n"), ("aa1", "w"), ("aa3", "z"), ("ab2", "y")]
+    assert staged_columns and all(columns == ["id"] for columns in staged_columns)
