@@ -88,10 +88,14 @@ ALL_PAGES_SQL = f"SELECT page_id, url, html FROM pages UNION ALL SELECT page_id
 
 
 def shops(spark: SparkSession, sf: str) -> DataFrame:
+    """Base columns of the businesses, dealt over all tasks: a customer is a few bytes in the file, so very many
+    come in one split, and each becomes a page or a text that takes long to search."""
     joined = table(spark, sf, "customer").join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    return joined.select(*[F.expr(e).alias(n) for n, e in SHOP.items()])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = joined.select("c_custkey", "c_acctbal", "c_mktsegment", "n_name").repartition(tasks)
+    return dealt.select(*[F.expr(e).alias(n) for n, e in SHOP.items()])
 
 
 def shop_pages(spark: SparkSession, sf: str) -> DataFrame:

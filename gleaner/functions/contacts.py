@@ -85,6 +85,12 @@ def _phones(text: Column, deobfuscate: bool = False) -> Column:
     return F.concat(plain, hidden)
 
 
+def has_contact(text: Column | str) -> Column:
+    """Whether a text holds an e-mail address or a phone number as written."""
+    text = col(text)
+    return (text.contains("@") & text.rlike(EMAIL)) | text.rlike(PHONE)
+
+
 def social_links(html: Column | str, domains: Iterable[str] = fixed.SOCIAL_DOMAINS) -> Column:
     """Distinct link targets on social networks, sorted."""
     links = F.filter(

@@ -86,12 +86,14 @@ def paired_leads(
     exploded; it would be copied to each of them otherwise.
     """
     t = F.coalesce(col(text), F.lit(""))
+    # most texts name no contact and give no row: nothing else is looked for in them
+    named = C.has_contact(t)
     found = docs.select(
         key,
-        t.alias("_text"),
+        F.when(named, t).otherwise("").alias("_text"),
         (F.col(source_url) if source_url else C.first_website(t)).alias("source_url"),
-        C.business_name(t).alias("business_name"),
-        F.coalesce(first_of(C._street_addresses(t, fixed.STREET_WORDS)), C.first_address(t)).alias("address"),
+        F.when(named, C.business_name(t)).alias("business_name"),
+        F.when(named, F.coalesce(first_of(C._street_addresses(t, fixed.STREET_WORDS)), C.first_address(t))).alias("address"),
         C.first_website(t).alias("website"),
         _use_once(C.email_phone_pairs(t)).alias("_pairs"),
         F.transform(C._emails(t), strip).alias("_emails"),

@@ -87,3 +87,19 @@ def test_no_products(spark, pages):
     for df in (Q.robots_gate(urls, robots), Q.schedule(frontier, 10), XC.harvest_contacts(pages)):
         text = plan(df)
         assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_spelled_businesses_are_dealt_over_tasks(spark):
+    """Customers of one split become pages and texts in many tasks."""
+    from gleaner.catalogue import inputs as I
+
+    for rows in (I.notes(spark, SF), I.shop_pages(spark, SF)):
+        assert rows.select(F.spark_partition_id()).distinct().count() >= 4
+
+
+def test_texts_without_contacts_give_no_paired_lead(spark):
+    texts = ["Grand Hotel, 12 Main Street", "Grand Hotel, 12 Main Street, a@b.org", "Grand Hotel +91 98000 00000", "at @ home", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [(r["doc_id"], r["address"]) for r in L.paired_leads(docs).orderBy("doc_id").collect()] == [(1, "12 Main Street"), (2, None)]
+    # names and addresses of a text are looked for behind the test for a contact
+    assert "CASE WHEN ((Contains(" in plan(L.paired_leads(docs))
