@@ -262,13 +262,7 @@ def contact_person(text: str, contact: str) -> str:
     (SELECT DISTINCT doc_id, text, unnest({_EMAILS}) AS contact FROM {_T}) e""",
 )
 def _(spark, sf):
-    return (
-        texts(spark, sf)
-        .select("doc_id", F.inline(F.transform(
-            C.extract_emails("text"),
-            lambda e: F.struct(e.alias("contact"), C.contact_person("text", e).alias("person")),
-        )))
-    )
+    return X.contact_people(texts(spark, sf))
 
 
 _GAP = "[^a-zA-Z0-9_.+-]*"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import contacts as C, fixed, html as H, urls as U
-from gleaner.functions.common import col
+from gleaner.functions.common import col, let
 from gleaner.operators.skew import salted_join
 from gleaner.session import materialize
 
@@ -90,3 +90,18 @@ def contact_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(key, F.posexplode(C.email_phone_pairs(text)).alias("seq", "pair")).select(
         key, "seq", "pair.email", "pair.phone"
     )
+
+
+def contact_people(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, contact, person) of every e-mail address of a text. What does not depend on the address, the name
+    by role and the places of names, is looked for once in a text, and only where there is an address."""
+
+    def people(emails: Column) -> Column:
+        known = F.struct(C.role_person(text).alias("role"), C.named_places(text).alias("places"))
+        found = let(known, lambda k: F.transform(
+            emails,
+            lambda e: F.struct(e.alias("contact"), C.contact_person(text, e, k["role"], k["places"]).alias("person")),
+        ))
+        return F.when(F.size(emails) > 0, found)
+
+    return docs.select(key, F.inline(let(C.extract_emails(text), people)))

@@ -1,6 +1,7 @@
 """Hand-derived results for each rule and branch."""
 
 import random
+import time
 from urllib.parse import urljoin
 
 import pytest
@@ -133,6 +134,33 @@ def test_paired_leads(spark):
     assert {r["business_name"] for r in got} == {"Unknown Business"}
 
 
+def test_people_are_those_of_each_contact(spark):
+    texts = [
+        "Manager: Jean Dubois, a@b.co or c@d.ee", "Anna Smith: lone@x.org\ncall Bob Ray: x@y.zz\n\nEve Kay: no one\nq@r.st", "x@y.zz x@y.zz",
+        "Manager: Jean Dubois", "at @ home", "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted(tuple(r) for r in XC.contact_people(docs).collect())
+    assert got == [
+        (0, "a@b.co", "Jean Dubois"), (0, "c@d.ee", "Jean Dubois"),
+        (1, "lone@x.org", "Anna Smith"), (1, "q@r.st", "Eve Kay"), (1, "x@y.zz", "Bob Ray"),
+        (2, "x@y.zz", "Unknown Contact"),
+    ]
+
+
+def test_names_are_looked_for_once_in_a_text(spark):
+    """Four times the addresses in one text, far less than sixteen times the time."""
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "Owner " + " ".join(f"a{i}@b.co" for i in range(n)))], "doc_id int, text string")
+        start = time.monotonic()
+        assert len(XC.contact_people(docs).collect()) == n
+        return time.monotonic() - start
+
+    seconds(10)
+    small, large = min(seconds(3_000) for _ in range(2)), seconds(12_000)
+    assert large < 8 * max(small, 0.5)
+
+
 def test_every_lead_contact_is_in_its_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").cast("string").alias("source_url"), "text")
     leads = L.flat_leads(docs, NOW).join(docs, "source_url")
