@@ -363,10 +363,12 @@ def email_phone_pairs(text: Column | str) -> Column:
     """
     text = col(text)
     gap = rf"[^{_LOCAL}]*"
+    # no e-mail and no phone holds the mark
+    mark = "\x01"
     forms = [
-        (rf"(?i:email)[:{WS}]*({_EMAIL_PART}){gap}(?i:phone)[:{WS}]*({PHONE})", 1, 2),
-        (rf"(?i:phone)[:{WS}]*({PHONE}){gap}(?i:email)[:{WS}]*({_EMAIL_PART})", 2, 1),
-        (rf"{_run_start(_LOCAL)}({_EMAIL_PART}){gap}({PHONE})", 1, 2),
+        (rf"(?i:email)[:{WS}]*({_EMAIL_PART}){gap}(?i:phone)[:{WS}]*({PHONE})", f"$1{mark}$2"),
+        (rf"(?i:phone)[:{WS}]*({PHONE}){gap}(?i:email)[:{WS}]*({_EMAIL_PART})", f"$2{mark}$1"),
+        (rf"{_run_start(_LOCAL)}({_EMAIL_PART}){gap}({PHONE})", f"$1{mark}$2"),
     ]
 
     def zipped(emails: Column, phones: Column) -> Column:
@@ -375,7 +377,12 @@ def email_phone_pairs(text: Column | str) -> Column:
             lambda p: F.struct(strip(p["email"]).alias("email"), strip(p["phone"]).alias("phone")),
         )
 
-    adjacent = F.concat(*[zipped(find_all(text, p, e), find_all(text, p, n)) for p, e, n in forms])
+    def parted(pattern: str, parts: str) -> Column:
+        """The text is searched once; a match, which alone matches as it did there, is taken apart."""
+        split = F.transform(find_all(text, pattern), lambda m: F.split(F.regexp_replace(m, pattern, parts), mark))
+        return F.transform(split, lambda p: F.struct(strip(p[0]).alias("email"), strip(p[1]).alias("phone")))
+
+    adjacent = F.concat(*[parted(p, parts) for p, parts in forms])
 
     def by_position() -> Column:
         return F.filter(

@@ -72,6 +72,18 @@ def test_extracted_arrays_are_computed_once(docs):
     assert plan(L.paired_leads(docs)).count("(?i:email)") == 4
 
 
+def test_each_form_of_a_pair_is_searched_once(spark, docs):
+    # three forms, e-mails and phones
+    assert plan(XC.contact_pairs(docs)).count("regexp_extract_all") == 5
+    # a domain takes all digits that a phone can spare
+    texts = ["a@b.co1234567890 \x01 c@d.ee.\x01+1 555 123 4567", "Phone: 555-123-4567.89, email: m@n.o1 email: a1@p.qq, PHONE 00 12 345 6789"]
+    rows = XC.contact_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id", "seq").collect()
+    assert [tuple(r) for r in rows] == [
+        (0, 0, "a@b.co1", "234567890"), (0, 1, "c@d.ee.", "+1 555 123 4567"),
+        (1, 0, "a1@p.qq", "00 12 345 6789"), (1, 1, "m@n.o1", "555-123-4567.89"),
+    ]
+
+
 def test_rankings_limit_before_the_shuffle(spark):
     hits = spark.range(100).select((F.col("id") % 3).alias("query"), F.col("id").alias("seq"))
     frontier = spark.range(100).select(F.concat(F.lit("http://h"), F.col("id") % 3, F.lit("/"), "id").alias("url"), F.lit(1).alias("priority"))
