@@ -14,6 +14,9 @@ from gleaner.catalogue.registry import table
 
 NOW = "2024-02-01 00:00:00"
 
+#: businesses spelled by one task: a few seconds of work
+PER_TASK = 10_000
+
 _NAME = """concat('Grand ', replace(n_name, 'NATION_', 'Nation '), ' ', c_mktsegment, ' ',
   CASE c_custkey % 5 WHEN 0 THEN 'Hotel' WHEN 1 THEN 'Resort' WHEN 2 THEN 'Tours' WHEN 3 THEN 'Cafe' ELSE 'Partners' END)"""
 _HOST = "concat('www.c', c_custkey, '.example.com')"
@@ -90,10 +93,10 @@ ALL_PAGES_SQL = f"SELECT page_id, url, html FROM pages UNION ALL SELECT page_id
 def shops(spark: SparkSession, sf: str) -> DataFrame:
     """Base columns of the businesses, dealt over all tasks: a customer is a few bytes in the file, so very many
     come in one split, and each becomes a page or a text that takes long to search."""
-    joined = table(spark, sf, "customer").join(
-        table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
-    )
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    customers = table(spark, sf, "customer")
+    joined = customers.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # counted from the file's metadata; each of very many small tasks would write to all tasks of a later shuffle
+    tasks = max(-(-customers.count() // PER_TASK), spark.sparkContext.defaultParallelism)
     dealt = joined.select("c_custkey", "c_acctbal", "c_mktsegment", "n_name").repartition(tasks)
     return dealt.select(*[F.expr(e).alias(n) for n, e in SHOP.items()])
 

@@ -109,6 +109,21 @@ def test_spelled_businesses_are_dealt_over_tasks(spark):
         assert rows.select(F.spark_partition_id()).distinct().count() >= 4
 
 
+def test_tasks_grow_with_the_businesses(spark, monkeypatch):
+    """As many as the cluster has cores, more for many businesses, whatever a shuffle has."""
+    from gleaner.catalogue import inputs as I
+
+    cores, partitions = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    customers = spark.read.parquet(f"{SF}/customer.parquet").count()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        assert I.shops(spark, SF).rdd.getNumPartitions() == cores
+        monkeypatch.setattr(I, "PER_TASK", 5)
+        assert I.shops(spark, SF).rdd.getNumPartitions() == max(-(-customers // 5), cores)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_texts_without_contacts_give_no_paired_lead(spark):
     texts = ["Grand Hotel, 12 Main Street", "Grand Hotel, 12 Main Street, a@b.org", "Grand Hotel +91 98000 00000", "at @ home", "", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
