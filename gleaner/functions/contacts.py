@@ -11,6 +11,7 @@ the previous match) with a possessive skip to the head, and, where heads are rar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -109,7 +110,12 @@ def social_profiles(text: Column | str, hosts: Iterable[str] = fixed.SOCIAL_PROF
 
 
 def _ends_with_word(words: Iterable[str]) -> str:
-    return "(?:" + "|".join(words) + ")"
+    """One of the words. A greedy run before it gives back its characters one by one, and most of them begin no
+    word: plain words are tried only at one of their first letters."""
+    words = list(words)
+    plain = words and all(re.fullmatch(r"[A-Za-z]{2,}\??", w) for w in words)
+    heads = f"(?=[{''.join(sorted({w[0] for w in words}))}])" if plain else ""
+    return f"{heads}(?:{'|'.join(words)})"
 
 
 def _stem(word: str) -> str:

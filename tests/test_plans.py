@@ -130,3 +130,14 @@ def test_texts_without_contacts_give_no_paired_lead(spark):
     assert [(r["doc_id"], r["address"]) for r in L.paired_leads(docs).orderBy("doc_id").collect()] == [(1, "12 Main Street"), (2, None)]
     # names and addresses of a text are looked for behind the test for a contact
     assert "CASE WHEN ((Contains(" in plan(L.paired_leads(docs))
+
+
+
+def test_words_at_the_end_of_a_run_are_tried_at_their_first_letters(spark, docs):
+    text = plan(XC.extract_patterns(docs))
+    assert "(?=[ABCGHILRT])(?:Hotel|" in text and "(?=[ABCDFGHLMPRSTVWZ])(?:Street|" in text
+    # words that are patterns are tried everywhere
+    assert XC.C._ends_with_word(["Inn|otel", "Cafe"]) == "(?:Inn|otel|Cafe)"
+    rows = spark.createDataFrame([("Grand inn Motel, 12 Some way, 7 Elm STREET",)], "t string")
+    names = rows.select(XC.C.business_names("t", ["Inns?", "Motel"]).alias("n"), XC.C.first_address("t").alias("a")).first()
+    assert (names["n"], names["a"]) == (["Grand inn Motel"], "12 Some way, 7 Elm STREET")
