@@ -185,15 +185,23 @@ def microdata(html: Column | str) -> Column:
         values = F.transform(find_all(tag, ATTRIBUTE, 2), lambda v: html_unescape(_unquote(v)))
         return F.map_from_entries(one_per_key(F.arrays_zip(names.alias("key"), values.alias("value"))))
 
-    html = col(html)
-    # most pages have none: a substring search is much cheaper than looking into every tag
-    tags = F.when(F.lower(html).contains("itemtype"), find_all(html, ITEMTYPE_TAG)).otherwise(empty_strings())
     return F.transform(
-        tags,
+        _itemtype_tags(html),
         lambda tag: F.struct(attribute(tag, "itemtype").alias("itemtype"), properties(tag).alias("properties")),
     )
 
 
+def itemtypes(html: Column | str) -> Column:
+    """The itemtype of every tag that has one, without its other properties."""
+    return F.transform(_itemtype_tags(html), lambda tag: attribute(tag, "itemtype"))
+
+
+def _itemtype_tags(html: Column | str) -> Column:
+    html = col(html)
+    # most pages have none: a substring search is much cheaper than looking into every tag
+    return F.when(F.lower(html).contains("itemtype"), find_all(html, ITEMTYPE_TAG)).otherwise(empty_strings())
+
+
 def canonical_href(html: Column | str) -> Column:
     links = F.transform(find_all(html, LINK_TAG, 1), lambda tag: attributes(tag, "rel", "href"))
     return first_of(F.filter(links, lambda v: F.lower(F.coalesce(v[0], F.lit(""))) == "canonical"))[1]

@@ -153,9 +153,9 @@ def structured_leads(
             field("telephone").alias("phone"), field("url").alias("website"),
         )
 
-    def from_tag(tag: Column) -> Column:
+    def from_itemtype(itemtype: Column) -> Column:
         return F.struct(
-            F.lit("microdata").alias("extraction_method"), F.lower(tag["itemtype"]).alias("lead_type"),
+            F.lit("microdata").alias("extraction_method"), F.lower(itemtype).alias("lead_type"),
             _null().alias("business_name"), _null().alias("email"), _null().alias("phone"),
             _null().alias("website"),
         )
@@ -165,7 +165,7 @@ def structured_leads(
         lambda l: F.coalesce(l["lead_type"].isin(fixed.LEAD_TYPES_JSONLD), F.lit(False)),
     )
     kinds = "|".join(fixed.LEAD_TYPES_MICRODATA)
-    tags = F.filter(F.transform(H.microdata(html), from_tag), lambda l: l["lead_type"].rlike(kinds))
+    tags = F.filter(F.transform(H.itemtypes(html), from_itemtype), lambda l: l["lead_type"].rlike(kinds))
     return pages.select(
         key, F.col(url).alias("source_url"), F.posexplode(F.concat(items, tags)).alias("seq", "l")
     ).select(key, "source_url", "seq", "l.*")

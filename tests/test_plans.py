@@ -141,3 +141,10 @@ def test_words_at_the_end_of_a_run_are_tried_at_their_first_letters(spark, docs)
     rows = spark.createDataFrame([("Grand inn Motel, 12 Some way, 7 Elm STREET",)], "t string")
     names = rows.select(XC.C.business_names("t", ["Inns?", "Motel"]).alias("n"), XC.C.first_address("t").alias("a")).first()
     assert (names["n"], names["a"]) == (["Grand inn Motel"], "12 Some way, 7 Elm STREET")
+
+
+def test_structured_leads_read_no_other_properties(spark, pages):
+    assert "map_from_entries" in plan(P.microdata_table(pages)) and "map_from_entries" not in plan(L.structured_leads(pages))
+    html = '<div itemscope itemtype="https://schema.org/Hotel" id="a" id="b"></div><p itemtype=x><i itemtype>&<b ITEMTYPE=\'LocalBusiness&amp;\'>'
+    rows = L.structured_leads(spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id int, url string, html string")).collect()
+    assert [(r["page_id"], r["lead_type"]) for r in rows] == [(1, "https://schema.org/hotel"), (1, "localbusiness&")]
