@@ -148,3 +148,11 @@ def test_structured_leads_read_no_other_properties(spark, pages):
     html = '<div itemscope itemtype="https://schema.org/Hotel" id="a" id="b"></div><p itemtype=x><i itemtype>&<b ITEMTYPE=\'LocalBusiness&amp;\'>'
     rows = L.structured_leads(spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id int, url string, html string")).collect()
     assert [(r["page_id"], r["lead_type"]) for r in rows] == [(1, "https://schema.org/hotel"), (1, "localbusiness&")]
+
+
+def test_ampersands_need_no_pattern(spark):
+    from gleaner.functions import text as T
+
+    rows = spark.createDataFrame([("a &amp; b &amp;lt; &ampx; &amp &AMP; &amp;amp; & &am;p",)], "t string").select(T.html_unescape("t").alias("x"))
+    assert rows.first()["x"] == "a & b &lt; &x; & & &amp; & &am;p"
+    assert "amp;" in plan(rows).split("split(")[1][:400]
